@@ -3,12 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vitaeflow.llm.byte_bpe import encode_texts, public_vocabulary
 from vitaeflow.llm.leakage import find_leaks
+from vitaeflow.llm.near_duplicates import duplicate_pairs, near_duplicates
 from vitaeflow.sources.tables import read_table
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """``request_id_a, request_id_b``: two requests that share at least three quarters of their words."""
+    pairs = duplicate_pairs(*near_duplicates(read_table(spark, folder, "role_recommend_request"), "request_id", "resume_text"))
+    return pairs.select(F.col("a").alias("request_id_a"), F.col("b").alias("request_id_b"))
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """``request_id, class_id, links``: one row per request of 20 words or more, with the class of texts that
+    have the same words and the number of other classes it is linked to."""
+    members, links = near_duplicates(read_table(spark, folder, "role_recommend_request"), "request_id", "resume_text")
+    ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep")))
+    joined = members.join(ends.groupBy("rep").agg(F.count("*").alias("links")), "rep", "left")
+    return joined.select(F.col("id").alias("request_id"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, ids`` of every document."""
     return encode_texts(read_table(spark, folder, "documents"), "doc_id", "text", public_vocabulary())
@@ -20,7 +37,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p7_ids": p7_ids, "p8_found": p8_found}
+    return {"p5_found": p5_found, "p5_groups": p5_groups, "p7_ids": p7_ids, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
