@@ -127,6 +127,33 @@ def candidates(words: np.ndarray, x: Index) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
+def aligned_starts(words: np.ndarray, at: np.ndarray, there: np.ndarray, x: Index) -> tuple[np.ndarray, np.ndarray]:
+    """Of the positions around candidate windows, those where so many of the next ``STRETCH`` words stand near
+    the same place of the item that the others can be edits, with a position inside that item."""
+    shift = np.arange(-STRETCH - 1, 3)
+    big = np.int64(len(x.words) + 1)
+    s, q = (at[:, None] + shift).ravel(), (there[:, None] + shift).ravel()
+    inside = (s >= 0) & (s < len(words))
+    s, q, home = s[inside], q[inside], np.repeat(there, len(shift))[inside]
+    _, one = np.unique(s * big * 2 + q + STEPS, return_index=True)
+    s, q, home = s[one], q[one], home[one]
+    ok = _enough(words, s)
+    s, q, home = s[ok], q[ok], home[ok]
+    drift = 2 * ((STRETCH + 1) // WORDS_PER_EDIT)
+    pad = np.concatenate([np.zeros(2 * STEPS, np.int64), x.words, np.zeros(2 * STEPS, np.int64)])
+    edits, good = (STRETCH + 1) // WORDS_PER_EDIT, np.zeros(len(s), bool)
+    for a in range(0, len(s), 200_000):
+        part = slice(a, a + 200_000)
+        hits = np.zeros(len(s[part]), np.int8)
+        for k in range(STRETCH):
+            w, at_item, near = words[np.minimum(s[part] + k, len(words) - 1)], q[part] + k + 2 * STEPS, np.zeros(len(s[part]), bool)
+            for d in range(-drift, drift + 1):
+                near |= pad[at_item + d] == w
+            hits += near & (w > 0)
+        good[part] = hits >= STRETCH - 1 - edits
+    return s[good], home[good]
+
+
 def follows(doc: np.ndarray, starts: np.ndarray, item: np.ndarray) -> bool:
     """Does some stretch of ``doc`` from one of ``starts`` follow a stretch of ``item``? Exact.
 
@@ -157,19 +184,16 @@ def leaks_of(texts: list[str | None], x: Index) -> list[tuple[int, int]]:
         parts += gap
         bounds.append(len(parts))
     words = np.array(parts + gap, np.int64)
-    at, there = candidates(words, x)
-    doc = np.searchsorted(bounds, at, "right") - 1
+    starts, there = aligned_starts(words, *candidates(words, x), x)
+    doc = np.searchsorted(bounds, starts, "right") - 1
     item = x.item_of[there]
     out = []
-    order = np.lexsort((at, item, doc))
-    doc, item, at = doc[order], item[order], at[order]
+    order = np.lexsort((starts, item, doc))
+    doc, item, starts = doc[order], item[order], starts[order]
     cut = np.flatnonzero(np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(item) != 0)))) if len(doc) else []
     for a, b in zip(cut, [*cut[1:], len(doc)]):
         lo, hi = bounds[doc[a]], bounds[doc[a] + 1] - STEPS
-        near = np.unique((at[a:b, None] + np.arange(-STRETCH - 2, 3)[None, :]).ravel())
-        near = near[(near >= lo) & (near < hi)]
-        near = near[_enough(words[lo:hi], near - lo)] - lo
-        if len(near) and follows(words[lo:hi], near, x.words[x.first[item[a]] : x.last[item[a]]]):
+        if follows(words[lo:hi], np.unique(starts[a:b]) - lo, x.words[x.first[item[a]] : x.last[item[a]]]):
             out.append((int(doc[a]), int(item[a])))
     return out
 
