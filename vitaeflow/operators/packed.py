@@ -26,11 +26,13 @@ BOOK_SIZE = 100_000
 #: Entries with a separator inside are also recognised with small edits if their code has at most so many bits
 #: (there can be no more than 2 ** 13 of them) and they aren't such a variant of a more frequent one.
 COMPOUND_BITS = 13
-LETTER_BITS, VALUE_BITS, EDIT_BITS = 4.7, 4.0, 9.0
+#: A separator inside a spelled value is rarer than a letter.
+LETTER_BITS, SEPARATOR_BITS, VALUE_BITS, EDIT_BITS = 4.7, 10.0, 4.0, 9.0
 
 _BLANK = " \t\r\n\u00a0\u2009\u202f\ufeff"
 _MARK = re.compile(r"^(?:[-*\u2022\u00b7\u2013\u25aa\u25cf\u2023]+(?=\s)|[\u2022\u25aa\u25cf\u2023\u00b7]+|\(\d{1,3}\)|\d{1,3}[.)](?=\s))[\s\u00a0]*")
 _NUMBERED = re.compile(r"(?:^|(?<=\s))(?:\((\d{1,3})\)|(\d{1,3})[.)])[\s\u00a0]+")
+_SEPARATOR = re.compile(r"[,;|/&\t\n\u00b7\u2022]|\s\+\s")
 _INNER = re.compile(r"[,;|/&+\t\n\u00b7\u2022]|\band\b")
 #: The delimiters of the dialects, as patterns; white space around them belongs to them.
 DELIMITERS = {
@@ -140,14 +142,15 @@ class CodeBook:
 
     def bits(self, value: str) -> float:
         key = code_key(value)
-        if (b := self._bits.get(key)) is None:
-            b = VALUE_BITS + LETTER_BITS * len(key)
+        if (b := self._bits.get(value)) is None:
+            apart = len(_SEPARATOR.findall(value))
+            b = VALUE_BITS + LETTER_BITS * (len(key) - apart) + SEPARATOR_BITS * apart
             if key in self.counts:
                 b = min(b, self.code(key) + b / self.counts[key])  # its share of spelling the entry once
             elif _INNER.search(key):
                 b = min([b, *self._near(key)])
             if len(self._bits) < BOOK_SIZE:
-                self._bits[key] = b
+                self._bits[value] = b
         return b
 
     def _near(self, key: str) -> Iterator[float]:

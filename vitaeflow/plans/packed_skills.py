@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,19 +14,25 @@ from vitaeflow.sources.tables import latest_by_key, read_table
 CELLS = (("skill_eval_template", "true_skills", "labelled_at"), ("skill_eval_results", "false_positives", "evaluated_at"))
 
 
-def packed_cells(spark: SparkSession, folder: str) -> DataFrame:
+def packed_cells(spark: SparkSession, folder: str, cells: tuple = CELLS) -> DataFrame:
     """``field_name, resume_id, cell`` of both tables, each key once."""
     parts = []
-    for table, column, stamp in CELLS:
+    for table, column, stamp in cells:
         t = latest_by_key(read_table(spark, folder, table).select("resume_id", F.col(column).alias("cell"), stamp), "resume_id", stamp)
         parts.append(t.select(F.lit(column).alias("field_name"), "resume_id", "cell"))
-    return parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)
+
+
+def split_cells(spark: SparkSession, folder: str, cells: tuple = CELLS) -> DataFrame:
+    """``packed_cells`` with ``items``, parsed with one code book of all columns."""
+    own = packed_cells(spark, folder, cells)
+    every = own if cells == CELLS else packed_cells(spark, folder)  # each key once: a repeated row would make its whole cell look like a value
+    return split_packed(own, "cell", "items", fit_code_book(every, "cell"))
 
 
-def split_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """``packed_cells`` with ``items``, parsed with one code book of both columns."""
-    cells = packed_cells(spark, folder)  # each key once: a repeated row would make its whole cell look like a value
-    return split_packed(cells, "cell", "items", fit_code_book(cells, "cell"))
+def split_packed_column(spark: SparkSession, folder: str, table: str, column: str, stamp: str) -> DataFrame:
+    """``split_cells`` of one of the columns, parsed as in ``p3_found``."""
+    return split_cells(spark, folder, ((table, column, stamp),))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
