@@ -6,9 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitaeflow.llm.byte_bpe import encode_texts, public_vocabulary
+from vitaeflow.llm.canonical import map_to_canonical
 from vitaeflow.llm.leakage import find_leaks
 from vitaeflow.llm.near_duplicates import duplicate_pairs, near_duplicates
-from vitaeflow.sources.tables import read_table
+from vitaeflow.plans.packed_skills import split_packed_column
+from vitaeflow.sources.scratch import cut_lineage
+from vitaeflow.sources.tables import latest_by_key, read_table
+
+
+def free_values(spark: SparkSession, folder: str) -> DataFrame:
+    """``kind, row_key, pos, raw``: every non-empty value of the three columns, each key once."""
+    cells = split_packed_column(spark, folder, "skill_eval_template", "true_skills", "labelled_at")
+    skills = cells.select(F.lit("skill").alias("kind"), F.col("resume_id").alias("row_key"), F.posexplode("items").alias("pos", "raw"))
+    parts = [skills.withColumn("pos", (F.col("pos") + 1).cast("int"))]
+    for kind, table, column in (("field", "education_entry", "field"), ("title", "experience_entry", "title")):
+        t = latest_by_key(read_table(spark, folder, table).select("entry_id", F.col(column).alias("raw"), "loaded_at"), "entry_id", "loaded_at")
+        parts.append(t.select(F.lit(kind).alias("kind"), F.col("entry_id").cast("string").alias("row_key"), F.lit(0).alias("pos"), "raw"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.length(F.trim("raw")) > 0)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """``kind, row_key, pos, ref_id`` of every value that isn't an entry of its kind as it stands; 0: none fits."""
+    refs = read_table(spark, folder, "reference_values")
+    names = F.broadcast(refs.select("kind", F.col("canonical").alias("raw")).distinct())  # 218 rows, fixed
+    values = cut_lineage(free_values(spark, folder).join(names, ["kind", "raw"], "left_anti"))
+    return values.join(map_to_canonical(values, refs), ["kind", "raw"]).select("kind", "row_key", "pos", "ref_id")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,7 +59,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p5_found": p5_found, "p5_groups": p5_groups, "p7_ids": p7_ids, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p5_found": p5_found, "p5_groups": p5_groups, "p7_ids": p7_ids, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
