@@ -9,6 +9,8 @@ from vitaeflow.llm.byte_bpe import encode_texts, public_vocabulary
 from vitaeflow.llm.canonical import map_to_canonical
 from vitaeflow.llm.leakage import find_leaks
 from vitaeflow.llm.near_duplicates import duplicate_pairs, near_duplicates
+from vitaeflow.llm.personal_data import detect, learn_given_names, pseudonymise
+from vitaeflow.operators.dedup import one_per_key
 from vitaeflow.plans.packed_skills import split_packed_column
 from vitaeflow.sources.scratch import cut_lineage
 from vitaeflow.sources.tables import latest_by_key, read_table
@@ -33,6 +35,28 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return values.join(map_to_canonical(values, refs), ["kind", "raw"]).select("kind", "row_key", "pos", "ref_id")
 
 
+#: The key of the surrogates; a deployment passes its own.
+SECRET = "change this key"
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """``field_name, row_key, pii_type, pii_value``, distinct: personal data in requests and in label values."""
+    texts, labels = read_table(spark, folder, "anonymize_request"), read_table(spark, folder, "pii_labels_template")
+    given = learn_given_names(texts, "resume_text")
+    parts = [
+        detect(df, key, column, given, whole).select(F.lit(column).alias("field_name"), "row_key", "pii_type", "pii_value")
+        for df, key, column, whole in ((texts, "request_id", "resume_text", False), (labels, "label_id", "pii_value", True))
+    ]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
+def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """``request_id, redacted, pseudonymised, n_found`` of every request, each key once."""
+    texts = read_table(spark, folder, "anonymize_request").select("request_id", "resume_text")
+    given = learn_given_names(texts, "resume_text")
+    return pseudonymise(one_per_key(texts, "request_id"), "request_id", "resume_text", SECRET, given)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """``request_id_a, request_id_b``: two requests that share at least three quarters of their words."""
     pairs = duplicate_pairs(*near_duplicates(read_table(spark, folder, "role_recommend_request"), "request_id", "resume_text"))
@@ -59,7 +83,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p5_found": p5_found, "p5_groups": p5_groups, "p7_ids": p7_ids, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p5_groups": p5_groups, "p7_ids": p7_ids, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
