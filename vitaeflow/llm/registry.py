@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitaeflow.llm.byte_bpe import encode_texts, public_vocabulary
 from vitaeflow.llm.canonical import map_to_canonical
+from vitaeflow.llm.consensus import consensus
 from vitaeflow.llm.leakage import find_leaks
 from vitaeflow.llm.near_duplicates import duplicate_pairs, near_duplicates
 from vitaeflow.llm.personal_data import detect, learn_given_names, pseudonymise
@@ -57,6 +58,29 @@ def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return pseudonymise(one_per_key(texts, "request_id"), "request_id", "resume_text", SECRET, given)
 
 
+RATERS = ["rater1", "rater2", "rater3", "rater4"]
+
+
+def _consensus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    pairs = latest_by_key(read_table(spark, folder, "pairs_template").select("pair_id", "panel_id", *RATERS, "exported_at"), "pair_id", "exported_at")
+    return consensus(pairs, "pair_id", "panel_id", RATERS)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """``pair_id, band`` of each pair with at least two ratings within 0-100."""
+    return _consensus(spark, folder)[0].select("pair_id", "band")
+
+
+def p6_people(spark: SparkSession, folder: str) -> DataFrame:
+    """``panel_id, rater, n_ratings, skill, accuracy``: the reliability of each person."""
+    return _consensus(spark, folder)[1].select(F.col("panel").alias("panel_id"), F.concat(F.lit("rater"), F.col("r") + 1).alias("rater"), "n_ratings", F.round("skill", 6).alias("skill"), F.round("accuracy", 6).alias("accuracy"))
+
+
+def p6_panels(spark: SparkSession, folder: str) -> DataFrame:
+    """``panel_id, agreement``: mean agreement of two people, corrected for chance."""
+    return _consensus(spark, folder)[2].select(F.col("panel").alias("panel_id"), F.round("agreement", 6).alias("agreement"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """``request_id_a, request_id_b``: two requests that share at least three quarters of their words."""
     pairs = duplicate_pairs(*near_duplicates(read_table(spark, folder, "role_recommend_request"), "request_id", "resume_text"))
@@ -83,7 +107,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p5_groups": p5_groups, "p7_ids": p7_ids, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_people": p6_people, "p6_panels": p6_panels, "p7_ids": p7_ids, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
