@@ -11,6 +11,7 @@ from vitaeflow.llm.consensus import consensus
 from vitaeflow.llm.leakage import find_leaks
 from vitaeflow.llm.near_duplicates import duplicate_pairs, near_duplicates
 from vitaeflow.llm.personal_data import detect, learn_given_names, pseudonymise
+from vitaeflow.llm.spam_pages import score_pages
 from vitaeflow.operators.dedup import one_per_key
 from vitaeflow.plans.packed_skills import split_packed_column
 from vitaeflow.sources.scratch import cut_lineage
@@ -106,8 +107,20 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(read_table(spark, folder, "documents"), "doc_id", "text", read_table(spark, folder, "eval_items"), "item_id", "text")
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id``, distinct: documents of which more than half is stuffing."""
+    scored = score_pages(read_table(spark, folder, "documents"), "doc_id", "text", "source")
+    return scored.where("smoothed > 0.5 and doc_id is not null").select("doc_id").distinct()
+
+
+def p9_hosts(spark: SparkSession, folder: str) -> DataFrame:
+    """``source, n_pages, spam_rate``: mean score of each host's pages, each document once."""
+    scored = score_pages(read_table(spark, folder, "documents"), "doc_id", "text", "source").groupBy("doc_id", "host").agg(F.max("score").alias("score"))
+    return scored.groupBy(F.col("host").alias("source")).agg(F.count("*").alias("n_pages"), F.round(F.avg("score"), 4).alias("spam_rate"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_people": p6_people, "p6_panels": p6_panels, "p7_ids": p7_ids, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_people": p6_people, "p6_panels": p6_panels, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_hosts": p9_hosts}
 
 
 def oracle_sql() -> dict[str, str]:
