@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from vitaeflow.plans import experience_periods, packed_skills
+from vitaeflow.plans import experience_periods, packed_skills, text_queries
+
+_MODULES = (text_queries,)
 
 
 def queries() -> dict:
-    return {"p4_found": experience_periods.p4_found, "p3_found": packed_skills.p3_found}
+    out = {"p3_found": packed_skills.p3_found, "p4_found": experience_periods.p4_found}
+    for m in _MODULES:
+        out |= m.QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": experience_periods.P4_SQL}
+    out = {"p4_found": experience_periods.P4_SQL}
+    for m in _MODULES:
+        out |= m.SQL
+    return out
