@@ -99,7 +99,7 @@ def candidate_parses(text: str) -> list[tuple[str, list[str]]]:
         if values:
             found.setdefault(values, name)
 
-    add("whole", [text])
+    add("whole", [text.strip(_BLANK + ";|,")])
     if (items := _listed(text)) is not None:
         values = tuple(v for v in (x.strip(_BLANK) for x in items) if v)
         if values:
@@ -157,6 +157,8 @@ class CodeBook:
         """Costs of the value as a compound entry with edits and letters added; they share a word or have close lengths."""
         words = frozenset(re.findall(r"[^\W_]{3,}", key))
         for name, own in zip(self.compounds, self._words):
+            if len(key) > len(name) + 60:  # so much more to spell that the entry inside hardly shortens it
+                continue
             if words & own or abs(len(key) - len(name)) <= 3:
                 edits = _within(name, key)
                 if edits <= max(1, len(name) // 5):
@@ -178,6 +180,17 @@ def _within(needle: str, text: str) -> int:
 def cheapest_parse(text: str, book: CodeBook) -> tuple[str, list[str]]:
     """The parse of least bits; of equals the one with fewer values, then the earlier one."""
     parses = candidate_parses(text)
+    low = text.lower()
+    if len(low) == len(text) and (inside := [c for c in book.compounds if c in low and c != low]):
+        # The same dialects, with the separators inside known names hidden.
+        hidden = list(text)
+        for name in inside:
+            at = low.find(name)
+            while at >= 0:
+                hidden[at : at + len(name)] = [chr(0xE000 + ord(c)) if ord(c) < 256 and not c.isalnum() else c for c in hidden[at : at + len(name)]]
+                at = low.find(name, at + len(name))
+        shown = {0xE000 + i: chr(i) for i in range(256)}
+        parses += [(n, values) for n, vs in candidate_parses("".join(hidden)) if (values := [v.translate(shown) for v in vs]) not in [p for _, p in parses]]
     if not parses:
         return "whole", []
     name_bits = math.log2(len(DELIMITERS) + 3)

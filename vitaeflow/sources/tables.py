@@ -20,10 +20,10 @@ def latest_by_key(df: DataFrame, key: str, stamp: str) -> DataFrame:
     shuffle, so a hot key costs one row per input partition.
     """
     rest = [c for c in df.columns if c not in (key, stamp)]
-    packed = F.max(F.struct(F.col(stamp).alias("s"), *[F.col(f"`{c}`") for c in rest])).alias("r")
+    packed = F.max(F.struct(F.col(stamp).alias("__stamp"), *[F.col(f"`{c}`") for c in rest])).alias("__row")
     return (
         df.where(F.col(key).isNotNull()).groupBy(key).agg(packed)
-        .select(F.col(key), *[F.col(f"r.`{c}`").alias(c) for c in rest], F.col("r.s").alias(stamp))
+        .select(F.col(key), *[F.col(f"__row.`{c}`").alias(c) for c in rest], F.col("__row.__stamp").alias(stamp))
         .select(*df.columns)
     )
 
