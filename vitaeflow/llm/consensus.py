@@ -9,6 +9,8 @@ three such products give each accuracy. Votes are added with the log-odds of bei
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,10 +41,11 @@ def _histogram(df: DataFrame, panel: str, raters: list[str]) -> DataFrame:
 
 
 def _usual_scale(h: DataFrame) -> DataFrame:
-    """One row ``scale array<double>``: the value at each quantile, the median over all people."""
-    grid = h.select("panel", "r", F.col("bin"), F.explode(F.expr(f"sequence(cast(ceil(upto * {QUANTILES} / all) as int), cast(ceil((upto + n) * {QUANTILES} / all) as int))")).alias("q"))
-    each = grid.where(f"q <= {QUANTILES}").groupBy("panel", "r", "q").agg(F.avg("bin").alias("v"))
-    at = each.groupBy("q").agg((F.percentile("v", F.lit(0.5)) * (100 / STEPS)).alias("v"))
+    """One row ``scale array<double>``: the value at each quantile, the median over all people, each weighted by the
+    root of the number of ratings, so that neither people with few ratings nor one with most of them settle it."""
+    grid = h.select("panel", "r", "all", F.col("bin"), F.explode(F.expr(f"sequence(cast(ceil(upto * {QUANTILES} / all) as int), cast(ceil((upto + n) * {QUANTILES} / all) as int))")).alias("q"))
+    each = grid.where(f"q <= {QUANTILES}").groupBy("panel", "r", "q").agg(F.avg("bin").alias("v"), F.ceil(F.sqrt(F.max("all"))).cast("bigint").alias("weight"))
+    at = each.groupBy("q").agg((F.percentile("v", F.lit(0.5), F.col("weight")) * (100 / STEPS)).alias("v"))
     return at.agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "v"))), lambda x: x.v).alias("scale"))
 
 
@@ -51,9 +54,12 @@ def _signs(df: DataFrame, panel: str, raters: list[str]) -> DataFrame:
     n = len(raters)
     pairs = {(i, j): f"c_{i}_{j}" for i in range(n) for j in range(i + 1, n)}
     c = df.groupBy(F.col(panel).alias("panel")).agg(*[F.corr(F.when(F.col(raters[j]).isNotNull(), F.col(raters[i])), F.when(F.col(raters[i]).isNotNull(), F.col(raters[j]))).alias(a) for (i, j), a in pairs.items()])
-    value = lambda i, j: F.coalesce(F.nanvl(F.col(pairs[min(i, j), max(i, j)]), F.lit(0.0)), F.lit(0.0))
-    against = lambda i: sum((value(i, j) * F.abs(value(i, j)) for j in range(n) if j != i), F.lit(0.0)) < 0
-    return c.select("panel", F.array(*[F.when(against(i), -1).otherwise(1) for i in range(n)]).alias("signs"))
+    value = {ij: F.coalesce(F.nanvl(F.col(a), F.lit(0.0)), F.lit(0.0)) for ij, a in pairs.items()}
+    # Of all ways to turn people round (half of 2 ** n, for the columns of one table), the one with most agreement; the majority stays.
+    patterns = [(1, *p) for p in itertools.product((1, -1), repeat=n - 1)]
+    signs = [tuple(-x for x in p) if sum(p) < 0 else p for p in patterns]
+    scored = [F.struct(F.round(sum((p[i] * p[j] * v for (i, j), v in value.items()), F.lit(0.0)), 9).alias("score"), F.lit(sum(s)).alias("kept"), F.array(*map(F.lit, s)).alias("signs")) for p, s in zip(patterns, signs)]
+    return c.select("panel", F.array_max(F.array(*scored))["signs"].alias("signs"))
 
 
 def band_of(value: Column) -> Column:
@@ -104,7 +110,8 @@ def rater_accuracies(t: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     rated = t.select("panel", F.posexplode("t").alias("i", "x")).where("x is not null").groupBy("panel", "i").agg(F.count("*").alias("n_ratings"))
     luck = both.groupBy("panel", "i").agg(F.avg("chance").alias("chance"))
     people = rated.join(skill, ["panel", "i"], "left").join(luck, ["panel", "i"], "left")
-    s, p0, k = F.coalesce("skill", F.lit(0.0)), F.coalesce("chance", F.lit(1 / (len(BANDS) + 1))), len(BANDS)
+    # A panel of few items may agree by chance alone; the bounds keep its odds finite.
+    s, p0, k = F.coalesce("skill", F.lit(0.0)), F.least(F.greatest(F.coalesce("chance", F.lit(1 / (len(BANDS) + 1))), F.lit(0.01)), F.lit(0.95)), len(BANDS)
     p = p0 + (1 - p0) * s
     # The floor keeps items that only poor raters have rated decidable.
     weight = F.greatest(F.log(p * k / (1 - p)) - F.log(p0 * k / (1 - p0)), F.lit(0.01))

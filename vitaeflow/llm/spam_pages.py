@@ -75,7 +75,7 @@ def features_of(text: str | None) -> list[float] | None:
         top, count = pairs.most_common(1)[0]
         if 2 * count / n >= 0.15:
             keyword = {w for p, c in pairs.items() if c >= 0.6 * count and set(p) & set(top) for w in p}
-    keyword |= {w for w, c in single.items() if c >= 5 and c / n >= 0.12 and w not in _FUNCTION}
+    keyword |= {w for w, c in single.items() if c >= 5 and (c / n >= 0.12 and w not in _FUNCTION or c / n >= 0.4)}
     stuffed = total = links = tags = stops = 0
     lines: Counter = Counter()
     for segment in _SEGMENT.split(text):
