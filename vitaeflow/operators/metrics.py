@@ -17,6 +17,12 @@ def f1_of(p: Column, r: Column) -> Column:
     return ratio(2 * p * r, p + r)
 
 
+def safe_corr(x: Column | str, y: Column | str) -> Column:
+    """Pearson's correlation as an aggregate; 0 where a side doesn't vary or there is one row (``corr`` divides by zero there)."""
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    return F.when((F.count("*") > 1) & (sx > 1e-9) & (sy > 1e-9), F.covar_pop(x, y) / (sx * sy)).otherwise(0.0)
+
+
 def prf_micro_macro(counts: DataFrame) -> DataFrame:
     """``average, precision, recall, f1`` out of rows with tp, fp, fn; 0 where a denominator is 0."""
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
@@ -52,16 +58,14 @@ def correlation(df: DataFrame, a: str, b: str, per: list[str]) -> DataFrame:
     """``*per, n, mae, pearson, spearman``; correlations are 0 where a side doesn't vary or n < 2."""
     d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*per, F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
     r = average_ranks(average_ranks(d, "x", "rx", per), "y", "ry", per)
-    safe = lambda u, v: F.when((F.count("*") > 1) & (F.stddev_pop(u) > 1e-9) & (F.stddev_pop(v) > 1e-9), F.corr(u, v)).otherwise(0.0)
-    return r.groupBy(*per).agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("x") - F.col("y"))), 4).alias("mae"), F.round(safe("x", "y"), 4).alias("pearson"), F.round(safe("rx", "ry"), 4).alias("spearman"))
+    return r.groupBy(*per).agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("x") - F.col("y"))), 4).alias("mae"), F.round(safe_corr("x", "y"), 4).alias("pearson"), F.round(safe_corr("rx", "ry"), 4).alias("spearman"))
 
 
 def rater_pairs(df: DataFrame, key: str, raters: list[str], per: list[str]) -> DataFrame:
     """``*per, a, b, n, mad, pearson`` for each pair of raters; from the wide row, without a self-join."""
     pairs = F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(x).alias("x"), F.col(y).alias("y")) for i, x in enumerate(raters) for y in raters[i + 1 :]])
     long = df.select(*per, F.inline(pairs)).where("x is not null and y is not null")
-    safe = F.when((F.count("*") > 1) & (F.stddev_pop("x") > 1e-9) & (F.stddev_pop("y") > 1e-9), F.corr("x", "y")).otherwise(0.0)
-    return long.groupBy(*per, "a", "b").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("x") - F.col("y"))), 4).alias("mad"), F.round(safe, 4).alias("pearson"))
+    return long.groupBy(*per, "a", "b").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("x") - F.col("y"))), 4).alias("mad"), F.round(safe_corr("x", "y"), 4).alias("pearson"))
 
 
 def anchors(df: DataFrame, value: str, human: str, weak: float = 30.0, strong: float = 70.0) -> DataFrame:

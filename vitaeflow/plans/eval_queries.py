@@ -24,7 +24,7 @@ def prf_micro_macro(spark, d):
 
 
 def _items(df, column):
-    return df.select("resume_id", F.explode(F.filter(F.transform(F.split(column, ";"), F.trim), lambda x: x != "")).alias("skill"))
+    return df.select("resume_id", F.explode(F.filter(F.transform(F.split(column, ";"), lambda x: F.trim(x)), lambda x: x != "")).alias("skill"))
 
 
 def label_counts(spark, d):
