@@ -180,6 +180,7 @@ def test_consensus_recovers_bands(spark):
     cols = [t + rng.normal(0, 4, 3000), (t + rng.normal(0, 5, 3000)) / 10, 100 - t + rng.normal(0, 4, 3000), rng.uniform(0, 100, 3000)]
     cols = [np.clip(c, 0, 100) for c in cols]
     rows = [(i, "p", *[None if rng.random() < 0.1 else float(c[i]) for c in cols]) for i in range(3000)]
+    rows += [(8000 + i, "same", 5.0, 5.0, 5.0, None) for i in range(3)]
     rows += [(9001, "p", 50.0, None, None, None), (9002, "p", 500.0, -3.0, float("nan"), 50.0), (9003, None, 80.0, 8.0, 20.0, None)]
     df = spark.createDataFrame(rows, "key int, panel string, a double, b double, c double, d double")
     items, people, panels = consensus.consensus(df, "key", "panel", ["a", "b", "c", "d"])

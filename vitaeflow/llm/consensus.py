@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vitaeflow.operators.metrics import safe_corr
+
 #: Lower bounds of the bands above the lowest.
 BANDS = ((40.0, "moderate"), (70.0, "strong"))
 LOWEST = "weak"
@@ -53,7 +55,8 @@ def _signs(df: DataFrame, panel: str, raters: list[str]) -> DataFrame:
     """``panel, signs array<int>``: -1 for a person whose ratings run against those of the others."""
     n = len(raters)
     pairs = {(i, j): f"c_{i}_{j}" for i in range(n) for j in range(i + 1, n)}
-    c = df.groupBy(F.col(panel).alias("panel")).agg(*[F.corr(F.when(F.col(raters[j]).isNotNull(), F.col(raters[i])), F.when(F.col(raters[i]).isNotNull(), F.col(raters[j]))).alias(a) for (i, j), a in pairs.items()])
+    shared = lambda i, j: F.when(F.col(raters[j]).isNotNull(), F.col(raters[i]))
+    c = df.groupBy(F.col(panel).alias("panel")).agg(*[safe_corr(shared(i, j), shared(j, i)).alias(a) for (i, j), a in pairs.items()])
     value = {ij: F.coalesce(F.nanvl(F.col(a), F.lit(0.0)), F.lit(0.0)) for ij, a in pairs.items()}
     # Of all ways to turn people round (half of 2 ** n, for the columns of one table), the one with most agreement; the majority stays.
     patterns = [(1, *p) for p in itertools.product((1, -1), repeat=n - 1)]
