@@ -123,5 +123,14 @@ def queries() -> dict:
     return {"p1_found": p1_found, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_people": p6_people, "p6_panels": p6_panels, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_hosts": p9_hosts}
 
 
+P5_SQL = r"""WITH d AS (SELECT request_id AS id, any_value(resume_text) AS t FROM role_recommend_request WHERE request_id IS NOT NULL GROUP BY 1),
+w AS (SELECT id, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS w FROM d WHERE t IS NOT NULL),
+c AS (SELECT id, w, count(*) AS c FROM w GROUP BY ALL), n AS (SELECT id, sum(c) AS n FROM c GROUP BY 1 HAVING sum(c) >= 20),
+s AS (SELECT a.id AS x, b.id AS y, sum(least(a.c, b.c)) AS s FROM c a JOIN c b ON a.w = b.w AND a.id < b.id GROUP BY ALL)
+SELECT x AS request_id_a, y AS request_id_b FROM s JOIN n a ON a.id = x JOIN n b ON b.id = y WHERE s >= 0.75 * (a.n + b.n - s)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The near duplicates by brute force. The other operators aren't expressible; their tests hold them against brute force,
+    public libraries, round trips or known truth."""
+    return {"p5_found": P5_SQL}
