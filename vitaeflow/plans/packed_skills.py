@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitaeflow.operators.packed import fit_code_book, split_packed
+from vitaeflow.sources.scratch import cut_lineage, spread_out
 from vitaeflow.sources.tables import latest_by_key, read_table
 
 #: (table, packed column, stamp)
 CELLS = (("skill_eval_template", "true_skills", "labelled_at"), ("skill_eval_results", "false_positives", "evaluated_at"))
 
 
-def packed_cells(spark: SparkSession, folder: str, cells: tuple = CELLS) -> DataFrame:
+def packed_cells(spark: SparkSession, folder: str) -> DataFrame:
     """``field_name, resume_id, cell`` of both tables, each key once."""
     parts = []
-    for table, column, stamp in cells:
+    for table, column, stamp in CELLS:
         t = latest_by_key(read_table(spark, folder, table).select("resume_id", F.col(column).alias("cell"), stamp), "resume_id", stamp)
         parts.append(t.select(F.lit(column).alias("field_name"), "resume_id", "cell"))
     return reduce(DataFrame.unionByName, parts)
@@ -25,9 +26,9 @@ def packed_cells(spark: SparkSession, folder: str, cells: tuple = CELLS) -> Data
 
 def split_cells(spark: SparkSession, folder: str, cells: tuple = CELLS) -> DataFrame:
     """``packed_cells`` with ``items``, parsed with one code book of all columns."""
-    own = packed_cells(spark, folder, cells)
-    every = own if cells == CELLS else packed_cells(spark, folder)  # each key once: a repeated row would make its whole cell look like a value
-    return split_packed(own, "cell", "items", fit_code_book(every, "cell"))
+    # Each key once: a repeated row would make its whole cell look like a value. Three passes read what is written here.
+    every = cut_lineage(spread_out(packed_cells(spark, folder)))
+    return split_packed(every.where(F.col("field_name").isin(*[c for _, c, _ in cells])), "cell", "items", fit_code_book(every, "cell"))
 
 
 def split_packed_column(spark: SparkSession, folder: str, table: str, column: str, stamp: str) -> DataFrame:

@@ -19,3 +19,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: later stages read files all executors share and survive a lost executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """In as many partitions as the cluster has use for; for little data that takes much computing, which would
+    otherwise sit in the few partitions its size asks for."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
