@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vitaeflow.operators import experience as E
 from vitaeflow.operators import profile as P
 from vitaeflow.operators import text as X
 from vitaeflow.operators.dedup import one_per_key
-from vitaeflow.plans.experience_periods import P4_SQL
+from vitaeflow.plans.experience_periods import P4_SQL, RUNNING
 from vitaeflow.plans.experience_periods import dated_entries as table_entries
 from vitaeflow.plans.text_queries import _DOCS, _LINES, _mentions, docs
 from vitaeflow.sources.tables import latest_by_key, read_table
@@ -99,6 +100,26 @@ def residual_flags(spark, d):
     return P.residual_flags(X.lines_of(t, "request_id", "t"), "request_id")
 
 
+def dated_lines(spark, d):
+    """Jobs with dates in the lines of documents."""
+    e = E.dated_lines(X.with_sections(_doc_lines(spark, d), "doc_id"), "doc_id", RUNNING)
+    return e.select("doc_id", "line_no", "title", "company", "s", "e", "bucket", "is_internship")
+
+
+def dated_months(spark, d):
+    e = E.dated_lines(X.with_sections(_doc_lines(spark, d), "doc_id"), "doc_id", RUNNING)
+    return E.months_by_bucket(e, "doc_id")
+
+
+def head_names(spark, d):
+    t = one_per_key(read_table(spark, d, "anonymize_request").select("request_id", "resume_file", "resume_text"), "request_id")
+    return t.select("request_id", E.name_in_head(F.col("resume_text"), X.name_from_file(F.col("resume_file"))).alias("name"))
+
+
+def text_windows(spark, d):
+    return docs(spark, d).where("text is not null").select("doc_id", E.random_window(F.col("text"), F.col("doc_id")).alias("part"))
+
+
 _REQ = "docs AS (SELECT request_id AS doc_id, any_value(resume_text) AS text FROM anonymize_request GROUP BY 1)"
 _DEG = "regexp_matches(line, '(?i)(^|[^A-Za-z0-9_])(ph\\.?\\s*d|doctor(ate)?|d\\.?phil|master(''?s)?|m\\.?\\s*sc|m\\.?\\s*tech|m\\.?\\s*eng|m\\.?\\s*phil|e?mba|magister|bachelor(''?s)?|undergraduate|b\\.?\\s*sc|b\\.?\\s*tech|b\\.?\\s*eng|b\\.?\\s*com|associate(''?s)? (degree|in)|high school|a-levels?)([^A-Za-z0-9_]|$)')"
 
@@ -122,4 +143,4 @@ n AS (SELECT doc_id AS request_id, len(regexp_extract_all(line, '{P.EMAIL}')) AS
 SELECT request_id, 'email' AS type, CAST(sum(email) AS BIGINT) AS n FROM n GROUP BY 1 HAVING sum(email) > 0 UNION ALL SELECT request_id, 'year', CAST(sum(year) AS BIGINT) FROM n GROUP BY 1 HAVING sum(year) > 0""",
 }
 
-QUERIES = {f.__name__: f for f in (emails, contacts, degree_levels, education_lines, experience_phrase_years, experience_buckets, interval_merge_months, experience_totals, recency_weights, skill_last_used, skill_evidence, evidence_counts, redacted_text, redaction_counts, residual_flags)}
+QUERIES = {f.__name__: f for f in (emails, contacts, degree_levels, education_lines, experience_phrase_years, experience_buckets, interval_merge_months, experience_totals, recency_weights, skill_last_used, skill_evidence, evidence_counts, redacted_text, redaction_counts, residual_flags, dated_lines, dated_months, head_names, text_windows)}
