@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vitaeflow.sources.scratch import cut_lineage
+
 #: Reference rows above which their derived tables are no longer broadcast.
 BROADCAST_ROWS = 50_000
 
@@ -159,6 +161,7 @@ def map_to_canonical(values: DataFrame, refs: DataFrame, kind: str = "kind", ref
     ))
     typed = distinct.select("kind", "raw", F.inline(forms)).withColumn("words", _words(F.col("t"))).withColumn("s", F.array_join("words", ""))
     typed = typed.where("length(s) > 1").groupBy("kind", "raw", "s").agg(F.min(F.struct("penalty", "words")).alias("m")).select("kind", "raw", "s", "m.penalty", "m.words")
+    typed = cut_lineage(typed)  # distinct values in their forms; four joins start here
     ref = reference_forms(refs, kind, ref_id, canonical)
 
     exact = _best(typed.join(spread(ref.select("kind", "s", "ref_id").distinct()), ["kind", "s"]).select("kind", "raw", "ref_id", F.col("penalty").alias("cost")))
