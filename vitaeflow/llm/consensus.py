@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vitaeflow.operators.metrics import safe_corr
+from vitaeflow.sources.scratch import cut_lineage
 
 #: Lower bounds of the bands above the lowest.
 BANDS = ((40.0, "moderate"), (70.0, "strong"))
@@ -133,7 +134,7 @@ def consensus(df: DataFrame, key: str, panel: str, raters: list[str]) -> tuple[D
     df = valid_ratings(df.select(key, panel, *raters).withColumn(panel, F.coalesce(F.col(panel).cast("string"), F.lit(""))), raters)
     few = df.select(panel).distinct().limit(BROADCAST_PANELS + 1).count() <= BROADCAST_PANELS
     spread = F.broadcast if few else (lambda d: d)
-    t = _calibrated(df, key, panel, raters, spread)
+    t = cut_lineage(_calibrated(df, key, panel, raters, spread))  # read for the accuracies and for the votes
     people, panels = rater_accuracies(t, n)
     weights = people.groupBy("panel").agg(F.map_from_entries(F.collect_list(F.struct("r", "weight"))).alias("w"))
     rated = t.join(spread(weights), "panel").where(F.size(F.filter("t", lambda x: x.isNotNull())) >= 2)
