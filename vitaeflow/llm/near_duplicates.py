@@ -76,41 +76,47 @@ def bands(e: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+_SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+
+
+def _long_texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        if i is not None and text is not None and len(e := elements(text)) >= LEAST_WORDS:
+            yield i, e
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, classes, els = [], [], []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if i is None or text is None:
-                continue
-            e = elements(text)
-            if len(e) >= LEAST_WORDS:
-                ids.append(i)
-                classes.append(xxhash.xxh3_128_hexdigest(e.tobytes()))
-                els.append(e.view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.string()), pa.array(els, pa.list_(pa.int64()))], ["id", "class", "e"])
-
-
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        els = [np.sort(np.array(x, np.int64).view(np.uint64)) for x in batch.column(1).to_pylist()]
-        sk = np.array([sketch(x) for x in els], np.int64).reshape(len(els), SKETCH_BITS // 64)
+        rows = list(_long_texts(batch))
+        sk = np.array([sketch(e) for _, e in rows], np.int64).reshape(len(rows), len(_SKETCH))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(list(sk), pa.list_(pa.int64())), pa.array([bands(x) for x in els], pa.list_(pa.int64()))], ["rep", "e", "sketch", "bands"]
+            [pa.array([i for i, _ in rows], pa.int64()), pa.array([xxhash.xxh3_128_hexdigest(e.tobytes()) for _, e in rows], pa.string()), *(pa.array(sk[:, c]) for c in range(len(_SKETCH))),
+             pa.array([bands(e) for _, e in rows], pa.list_(pa.int64()))], ["id", "class", *_SKETCH, "bands"],
         )
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = list(_long_texts(batch))
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([e.view(np.int64) for _, e in rows], pa.list_(pa.int64()))], ["rep", "e"])
+
+
 def _pairs(a: F.Column, b: F.Column) -> F.Column:
     return F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
-def _verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """``a, b, similarity`` of candidate pairs at or above ``SIMILARITY``: sketches first, then all words."""
-    sk = lambda x: reps.select(F.col("rep").alias(x), F.col("sketch").alias("s" + x))
-    el = lambda x: reps.select(F.col("rep").alias(x), F.col("e").alias("e" + x))
-    same = SKETCH_BITS - sum(F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_BITS // 64))
-    likely = pairs.join(sk("a"), "a").join(sk("b"), "b").where(same >= SKETCH_SHARE * SKETCH_BITS).select("a", "b")
+def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The candidate pairs whose sketches agree in enough bits."""
+    side = lambda x: sketches.select(F.col("rep").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in _SKETCH])
+    same = SKETCH_BITS - sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _SKETCH)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(same >= SKETCH_SHARE * SKETCH_BITS).select("a", "b")
+
+
+def _exact(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """``a, b, similarity`` of the pairs at or above ``SIMILARITY``, by all words."""
+    el = lambda x: words.select(F.col("rep").alias(x), F.col("e").alias("e" + x))
     shared = F.size(F.array_intersect("ea", "eb"))
-    scored = likely.join(el("a"), "a").join(el("b"), "b").select("a", "b", (shared / (F.size("ea") + F.size("eb") - shared)).alias("similarity"))
+    scored = pairs.join(el("a"), "a").join(el("b"), "b").select("a", "b", (shared / (F.size("ea") + F.size("eb") - shared)).alias("similarity"))
     return scored.where(F.col("similarity") >= SIMILARITY)
 
 
@@ -119,26 +125,33 @@ def near_duplicates(df: DataFrame, key: str, text: str) -> tuple[DataFrame, Data
 
     Texts with fewer than ``LEAST_WORDS`` words, null texts and null keys belong to no class. ``rep`` is the
     smallest id among texts with the same words. Every bucket of every band links its members to one of
-    them only, drawn by a hash that differs from band to band, so a bucket of n members gives n - 1 edges;
+    them only, which differs from band to band, so a bucket of n members gives n - 1 edges;
     links that stars leave out are found among the partners of a linked text.
+
+    Texts leave the scan as signatures; whole texts are shuffled once, to the ids of likely pairs. Keys are integers.
     """
     kind = df.schema[key].dataType.simpleString()
-    prints = df.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(_fingerprints, "id bigint, class string, e array<bigint>")
-    prints = cut_lineage(prints)
+    slim = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
+    prints = cut_lineage(slim.mapInArrow(_fingerprints, "id bigint, class string, " + ", ".join(f"{c} bigint" for c in _SKETCH) + ", bands array<bigint>"))
     members = prints.groupBy("id").agg(F.min("class").alias("class"))  # a key counts once
     smallest = members.groupBy("class").agg(F.min("id").alias("rep"))
     members = members.join(smallest, "class").select("id", "rep")
-    chosen = prints.join(smallest.withColumnRenamed("class", "c"), (F.col("id") == F.col("rep")) & (F.col("class") == F.col("c")), "left_semi")
-    reps = cut_lineage(chosen.dropDuplicates(["id"]).select("id", "e").mapInArrow(_signed, "rep bigint, e array<bigint>, sketch array<bigint>, bands array<bigint>"))
-    rows = reps.select("rep", F.explode("bands").alias("bucket"))
-    order = F.xxhash64("rep", "bucket")
-    centres = rows.groupBy("bucket").agg(F.min_by("rep", order).alias("centre"), F.count("*").alias("n")).where("n > 1").select("bucket", "centre")
+    chosen = prints.join(smallest.select(F.col("rep").alias("id"), "class"), ["id", "class"], "left_semi")
+    # A bucket's order is the id turned by the bucket's bits: its smallest value gives the centre back. Repeated rows change nothing.
+    turned = lambda c: F.col(c).bitwiseXOR(F.xxhash64("bucket"))
+    rows = chosen.select(F.col("id").alias("rep"), F.explode("bands").alias("bucket")).withColumn("order", turned("rep"))
+    centres = rows.groupBy("bucket").agg(F.min("order").alias("low"), F.max("order").alias("high")).where("low < high").select("bucket", turned("low").alias("centre"))
     stars = rows.join(centres, "bucket").where("rep <> centre").select(_pairs(F.col("rep"), F.col("centre")).alias("p")).distinct().select("p.*")
-    links = cut_lineage(_verified(stars, reps))
+    sketches = chosen.groupBy(F.col("id").alias("rep")).agg(*[F.min(c).alias(c) for c in _SKETCH])
+    likely = cut_lineage(_likely(stars, sketches))
+    wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
+    words = slim.join(wanted, "id", "left_semi").mapInArrow(_elements, "rep bigint, e array<bigint>").join(chosen.select(F.col("id").alias("rep")).distinct(), "rep", "left_semi")
+    words = cut_lineage(words.groupBy("rep").agg(F.first("e").alias("e")))
+    links = cut_lineage(_exact(likely, words))
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     around = both.select(F.col("a").alias("mid"), F.col("b").alias("x")).join(both.select(F.col("a").alias("mid"), F.col("b").alias("y")), "mid").where("x < y")
     more = around.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(more, reps))
+    links = links.unionByName(_exact(more, words))
     return members.select(F.col("id").cast(kind).alias("id"), F.col("rep").cast(kind).alias("rep")), links
 
 
