@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from vitaeflow.operators.metrics import fold_of
 from vitaeflow.operators.similarity import terms
+from vitaeflow.sources.scratch import cut_lineage
 
 #: Rows a model is fitted on, drawn by a hash of the key; documented bound of training, not of prediction.
 SAMPLE = 50_000
@@ -31,6 +32,7 @@ def train_roles(df: DataFrame, key: str, text: str, label: str, features: int =
     sizes = data.groupBy("label_text").agg(F.count("*").alias("size"))
     total = sizes.agg(F.sum("size").alias("all"), F.count("*").alias("classes"))
     data = data.join(F.broadcast(sizes), "label_text").crossJoin(F.broadcast(total)).withColumn("weight", F.col("all") / (F.col("classes") * F.col("size")))  # a row per class, one row
+    data = cut_lineage(data.select("terms", "label_text", "weight"))  # the stages below each pass over it, the last many times
     stages = [
         StringIndexer(inputCol="label_text", outputCol="label", stringOrderType="alphabetAsc"), HashingTF(inputCol="terms", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="idf", minDocFreq=2),
         Normalizer(inputCol="idf", outputCol="features"), LogisticRegression(maxIter=30, regParam=1 / (c * 1000), weightCol="weight"),

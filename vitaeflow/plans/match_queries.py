@@ -161,6 +161,10 @@ SQL = {
     + ", ".join(f"('{k}', {v['skill']}::DOUBLE, {v['semantic']}::DOUBLE, {v['experience']}::DOUBLE, {v['education']}::DOUBLE, {v['recency']}::DOUBLE)" for k, v in M.PRESETS.items())
     + ") SELECT pair_id, mode, least(greatest(round(CASE WHEN b IS NULL THEN a ELSE round(ws * a, 4) + round(wm * b, 4) + round(we * c, 4) + round(wd * d, 4) + round(wr * d, 4) END, 4), 0), 1) AS score FROM q, m",
     "exact_dedup": f"WITH {_DOCS}, f AS (SELECT text, min(doc_id) AS first_key FROM docs WHERE text IS NOT NULL GROUP BY 1) SELECT doc_id, first_key, doc_id = first_key AS is_first FROM docs JOIN f USING (text)",
+    "near_dup_edges": """WITH e AS (SELECT entry_id AS k, any_value(raw) AS t FROM education_entry WHERE entry_id IS NOT NULL AND raw IS NOT NULL GROUP BY 1), f AS (SELECT t, min(k) AS k FROM e GROUP BY 1),
+w AS (SELECT k, unnest(list_filter(regexp_extract_all(lower(t), '[a-z0-9][a-z0-9+#]+'), lambda x: NOT list_contains([{stops}], x))) AS term FROM f), tf AS (SELECT k, term, count(*) AS c FROM w GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM f), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), x AS (SELECT k, tf.term, (1 + ln(c)) * (ln((1 + n) / (1.0 + df)) + 1) AS x FROM tf JOIN df USING (term), n), u AS (SELECT k, term, x / sqrt(sum(x * x) OVER (PARTITION BY k)) AS w FROM x)
+SELECT a, b, cosine FROM (SELECT p.k AS a, q.k AS b, round(sum(p.w * q.w), 6) AS cosine FROM u p JOIN u q ON p.term = q.term AND p.k < q.k GROUP BY ALL) WHERE cosine >= 0.95 UNION ALL SELECT f.k, e.k, 1.0 FROM e JOIN f USING (t) WHERE e.k <> f.k""".replace("{stops}", ", ".join(f"'{x}'" for x in V.STOP_WORDS)),
     "tfidf_pair_cosine": _TFIDF + " SELECT item_id, cosine FROM best",
     "semantic_normalized": _TFIDF + " SELECT item_id, round(least(greatest((cosine - 0.0) / 0.3, 0), 1), 4) AS similarity FROM best",
     "embed_best_match": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT q.vec_id, r.vec_id AS o, round(list_cosine_similarity(q.e, r.e), 6) AS c FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0), k AS (SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, o) AS rank, round(c, 4) AS cosine FROM p) SELECT * FROM k WHERE rank <= 5",
