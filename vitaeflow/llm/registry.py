@@ -133,4 +133,8 @@ SELECT x AS request_id_a, y AS request_id_b FROM s JOIN n a ON a.id = x JOIN n b
 def oracle_sql() -> dict[str, str]:
     """The near duplicates by brute force. The other operators aren't expressible; their tests hold them against brute force,
     public libraries, round trips or known truth."""
-    return {"p5_found": P5_SQL}
+    groups = P5_SQL.replace("SELECT x AS request_id_a", ", l AS (SELECT x AS request_id_a").strip() + """),
+k AS (SELECT id, n, (SELECT string_agg(w || ' ' || c, ' ' ORDER BY w) FROM c WHERE c.id = n.id) AS bag FROM n), r AS (SELECT id, min(id) OVER (PARTITION BY bag) AS rep FROM k),
+e AS (SELECT request_id_a AS u, request_id_b AS v FROM l UNION ALL SELECT request_id_b, request_id_a FROM l)
+SELECT r.id AS request_id, r.rep AS class_id, count(DISTINCT o.rep) FILTER (o.rep <> r.rep) AS links FROM r LEFT JOIN e ON e.u = r.rep LEFT JOIN r o ON o.id = e.v GROUP BY r.id, r.rep"""
+    return {"p5_found": P5_SQL, "p5_groups": groups}
