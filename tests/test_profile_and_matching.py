@@ -63,6 +63,15 @@ def test_coverage(spark, held, req, pref, want):
     assert df.select(matching.coverage(df.h, df.r, df.p).alias("c")).first()["c"] == pytest.approx(want, abs=1e-4)
 
 
+def test_adjusted_coverage_and_group_score(spark):
+    wanted = spark.createDataFrame([(1, 7, "a", True), (1, 7, "b", True), (1, 7, "c", False), (2, 7, "a", True), (3, 7, "c", False)], "doc int, job int, skill string, required boolean")
+    held = spark.createDataFrame([(1, "a", 0.5), (1, "c", None), (3, "c", 0.85)], "doc int, skill string, multiplier double")
+    got = {r["doc"]: r["coverage"] for r in matching.adjusted_coverage(wanted, held, ["doc", "job"]).collect()}
+    assert got == {1: pytest.approx(0.8 * 0.25 + 0.2), 2: 0.0, 3: 0.85}
+    w = wanted.withColumn("w", F.when(F.col("skill") == "a", 1.0).otherwise(0.5))
+    assert {r["doc"]: r["score"] for r in matching.group_score(w, ["doc"], "w").collect()} == {1: 0.7, 2: 1.0, 3: 0.5}
+
+
 def test_presets_sum_to_one_and_degrade(spark):
     assert all(math.isclose(sum(p.values()), 1) for p in matching.PRESETS.values())
     df = spark.createDataFrame([(1, 0.5, 1.0, 1.0, 1.0, 1.0), (2, 0.5, None, 1.0, 1.0, 1.0)], "id int, skill double, semantic double, experience double, education double, recency double")

@@ -30,6 +30,25 @@ def coverage(held: Column, required: Column, preferred: Column) -> Column:
     return F.round(F.when((nr > 0) & (np_ > 0), REQUIRED_SHARE * part(required) + PREFERRED_SHARE * part(preferred)).when(nr > 0, part(required)).when(np_ > 0, part(preferred)).otherwise(0.0), 4)
 
 
+def adjusted_coverage(wanted: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
+    """``*keys, coverage``: like ``coverage``, where a held name counts its multiplier (1 where there is none).
+
+    ``wanted`` has ``*keys, skill, required`` (boolean); ``evidence`` has the first key, skill and multiplier of what is held. They meet on
+    (key, skill); the sums are combined before the shuffle by keys.
+    """
+    j = wanted.join(evidence.select(keys[0], "skill", F.coalesce("multiplier", F.lit(1.0)).alias("m")), [keys[0], "skill"], "left")
+    part = lambda want: F.sum(F.when(F.col("required") == want, F.coalesce("m", F.lit(0.0)))) / F.greatest(F.count(F.when(F.col("required") == want, 1)), F.lit(1))
+    n = lambda want: F.count(F.when(F.col("required") == want, 1))
+    both = F.when((n(True) > 0) & (n(False) > 0), REQUIRED_SHARE * part(True) + PREFERRED_SHARE * part(False)).when(n(True) > 0, part(True)).when(n(False) > 0, part(False)).otherwise(0.0)
+    return j.groupBy(*keys).agg(F.round(both, 4).alias("coverage"))
+
+
+def group_score(df: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``*keys, score``: the mean weight of required and of preferred names, 0.8 to 0.2; one alone where the other is missing."""
+    r, p = F.avg(F.when(F.col("required"), F.col(weight))), F.avg(F.when(~F.col("required"), F.col(weight)))
+    return df.groupBy(*keys).agg(F.round(F.coalesce(REQUIRED_SHARE * r + PREFERRED_SHARE * p, r, p, F.lit(0.0)), 4).alias("score"))
+
+
 def gaps(held: Column, wanted: Column) -> Column:
     """``struct<matched, missing>``, sorted."""
     return F.struct(F.array_sort(F.array_intersect(wanted, held)).alias("matched"), F.array_sort(F.array_except(wanted, held)).alias("missing"))

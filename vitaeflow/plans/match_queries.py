@@ -8,7 +8,7 @@ from vitaeflow.operators import matching as M
 from vitaeflow.operators import similarity as V
 from vitaeflow.operators import skills as S
 from vitaeflow.operators import text as X
-from vitaeflow.plans.profile_queries import _doc_lines
+from vitaeflow.plans.profile_queries import _doc_lines, skill_evidence, skill_last_used
 from vitaeflow.plans.text_queries import _DOCS, _LINES, _TOKENS, _mentions, docs
 from vitaeflow.sources.tables import latest_by_key, read_table
 
@@ -62,6 +62,25 @@ def coverage_plain(spark, d):
     return _applications(spark, d).select("doc_id", "job_id", M.coverage(F.col("skills"), F.col("required"), F.col("preferred")).alias("coverage"))
 
 
+def _wanted(spark, d):
+    """Each application's wanted skills, one per row."""
+    a = _applications(spark, d)
+    both = F.concat(F.transform("required", lambda x: F.struct(x.alias("skill"), F.lit(True).alias("required"))), F.transform("preferred", lambda x: F.struct(x.alias("skill"), F.lit(False).alias("required"))))
+    return a.select("doc_id", "job_id", F.inline(both))
+
+
+def coverage_adjusted(spark, d):
+    """Coverage where a skill counts by the evidence for it."""
+    return M.adjusted_coverage(_wanted(spark, d), skill_evidence(spark, d), ["doc_id", "job_id"])
+
+
+def recency_group_score(spark, d):
+    """The recency of the wanted skills; those a resume doesn't mention count as undated."""
+    used = skill_last_used(spark, d).select("doc_id", "skill", "weight")
+    j = _wanted(spark, d).join(used, ["doc_id", "skill"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.5)))
+    return M.group_score(j, ["doc_id", "job_id"], "weight")
+
+
 def rank_topn(spark, d):
     """The ten best resumes of each advert of the query set."""
     a = _applications(spark, d).withColumn("matched", F.array_intersect("skills", F.concat("required", "preferred")))
@@ -173,4 +192,4 @@ SELECT a, b, cosine FROM (SELECT p.k AS a, q.k AS b, round(sum(p.w * q.w), 6) AS
     "job_requirements": _JOB + " SELECT job_id, array_to_string(required, ';') AS required, array_to_string(preferred, ';') AS preferred FROM jobs UNION ALL SELECT doc_id, '', '' FROM (SELECT DISTINCT doc_id FROM ments JOIN parts USING (doc_id, line_no) WHERE doc_id IN (FROM ads) AND doc_id NOT IN (SELECT job_id FROM jobs))",
 }
 
-QUERIES = {f.__name__: f for f in (job_parts, job_families, job_requirements, skill_gap, coverage_plain, rank_topn, score_all_modes, exact_dedup, near_dup_edges, near_dup_groups, tfidf_pair_cosine, semantic_normalized, embed_best_match, embed_meanpool, term_suggestions)}
+QUERIES = {f.__name__: f for f in (job_parts, job_families, job_requirements, skill_gap, coverage_plain, coverage_adjusted, recency_group_score, rank_topn, score_all_modes, exact_dedup, near_dup_edges, near_dup_groups, tfidf_pair_cosine, semantic_normalized, embed_best_match, embed_meanpool, term_suggestions)}
