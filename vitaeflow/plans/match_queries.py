@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from vitaeflow.operators import matching as M
 from vitaeflow.operators import similarity as V
 from vitaeflow.operators import skills as S
-from vitaeflow.operators import text as X
 from vitaeflow.plans.profile_queries import _doc_lines, skill_evidence, skill_last_used
 from vitaeflow.plans.text_queries import _DOCS, _LINES, _TOKENS, _mentions, docs
 from vitaeflow.sources.tables import latest_by_key, read_table

@@ -10,7 +10,7 @@ from vitaeflow.operators import text as X
 from vitaeflow.operators.dedup import one_per_key
 from vitaeflow.plans.experience_periods import P4_SQL, RUNNING
 from vitaeflow.plans.experience_periods import dated_entries as table_entries
-from vitaeflow.plans.text_queries import _DOCS, _LINES, _mentions, docs
+from vitaeflow.plans.text_queries import _LINES, _mentions, docs
 from vitaeflow.sources.tables import latest_by_key, read_table
 
 TODAY_YEAR = 2026
