@@ -165,6 +165,35 @@ def test_colliding_surrogates_are_parted(spark, monkeypatch):
     assert parts[0] == parts[2] != parts[1]
 
 
+def _emitted(found, salts):
+    return [personal_data.normal(k, personal_data.surrogate("k", k, v, salts)) for k, v in found]
+
+
+def test_addresses_of_one_town_stay_apart_as_written_out(spark):
+    # Ninety numbers of two digits meet eighty-one surrogates of the town: a part must leave it, and is checked again.
+    values = [("address", f"PO Box {i}, Saltwyn") for i in range(10, 100)] + [("phone", f"+0{i} 0000 0000") for i in range(10, 30)]
+    values += [("email", f"p{i} at mail dot test") for i in range(300)] + [("email", f"p{i}@mail.test") for i in range(300)]
+    found = spark.createDataFrame(values, "pii_type string, pii_value string")
+    salts = {(r["kind"], r["identity"]): r["salt"] for r in personal_data.colliding(found, "k").collect()}
+    identities = len({personal_data.parts_of(k, v)[0] for k, v in values})
+    assert identities == 90 + 20 + 300
+    assert len(set(_emitted(values, {}))) < identities and len(set(_emitted(values, salts))) == identities
+
+
+def test_a_second_clash_is_parted_and_too_few_surrogates_are_told(spark):
+    # "Ay" is too short for a made-up word: nine surrogates for nine numbers are found only by salting again and again.
+    nine = spark.createDataFrame([("address", f"PO Box {i}, Ay") for i in range(1, 10)], "pii_type string, pii_value string")
+    salts = {(r["kind"], r["identity"]): r["salt"] for r in personal_data.colliding(nine, "k").collect()}
+    assert len(set(_emitted([tuple(r) for r in nine.collect()], salts))) == 9 and max(salts.values()) > 1
+
+
+def test_initials_stay_apart_and_rows_without_key_are_salted(spark):
+    names = [f"{c}. Savquist" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    assert len({personal_data.surrogate("k", "name", n, {}) for n in names}) == 26
+    df = spark.createDataFrame([(None, f"PO Box {i}, Saltwyn") for i in range(10, 100)], "id long, t string")
+    assert len({r["pseudonymised"] for r in personal_data.pseudonymise(df, "id", "t", "k", GIVEN).collect()}) == 90
+
+
 def test_given_names_are_learned(spark):
     df = spark.createDataFrame([("Name: Zoë Lusk",), ("my name is zoë lusk and I was born",), ("Signed: Harlan Vance Ltd",), (None,)], "t string")
     assert personal_data.learn_given_names(df, "t") == {"zoë"}

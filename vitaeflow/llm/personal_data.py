@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vitaeflow.sources.scratch import cut_lineage
+
 #: Given names kept, most frequent first: bounds what goes to the driver and the tasks.
 LEXICON_SIZE = 50_000
 TYPES = ("address", "email", "id_number", "phone", "name")
@@ -221,6 +223,14 @@ def _numbers(secret: str, *what: object) -> Iterator[int]:
         n += 1
 
 
+def normal(kind: str, value: str) -> str:
+    """A value without its written form: two values of a type with the same normal form say the same."""
+    if kind == "email":
+        at = re.sub(r"(?i)\s*[(\[{]\s*at\s*[)\]}]\s*|\s*@\s*|\s+at\s+", "@", value)
+        return re.sub(r"(?i)\s*[(\[{]\s*dot\s*[)\]}]\s*|\s+dot\s+", ".", at).lower()
+    return re.sub(r"[\W_]", "", value.lower())
+
+
 def parts_of(kind: str, value: str) -> list[tuple[str, str]]:
     """What must stay distinct: ``(kind of part, identity)``; a name by given name and surnames, so that short and
     long forms of one name stay together."""
@@ -228,8 +238,7 @@ def parts_of(kind: str, value: str) -> list[tuple[str, str]]:
         given = given_of(value)
         words = [w for w in re.findall(_WORD, value) if not re.fullmatch(_PARTICLE, w) and len(w) > 1]
         return [("given" if w.lower() == given else "surname", w.lower()) for w in words]
-    plain = re.sub(r"(?i)\s*[(\[{]\s*at\s*[)\]}]\s*|\s*@\s*", "@", value).lower()
-    return [(kind, plain if kind == "email" else re.sub(r"[\W_]", "", plain))]
+    return [(kind, normal(kind, value))]
 
 
 def _made_up(secret: str, kind: str, identity: str, salt: int, gender: str = "") -> str:
@@ -238,12 +247,19 @@ def _made_up(secret: str, kind: str, identity: str, salt: int, gender: str = "")
     return word + (_ENDING[gender][next(n) % 4] if kind == "given" else "n" if next(n) % 2 else "")
 
 
-def core(secret: str, kind: str, identity: str, salt: int) -> str:
-    """The surrogate of a part without its written form; two parts of a kind may not share it."""
-    if kind in ("given", "surname", "email", "address"):
-        return _made_up(secret, kind, identity, salt)
-    n = _numbers(secret, kind, identity, salt)
-    return "".join(str(next(n) % 10) for _ in identity)
+def _initial(secret: str, letter: str) -> str:
+    """A keyed permutation of the letters, so that two initials never become one."""
+    letters = [c for c in _LO if (c in "abcdefghijklmnopqrstuvwxyz") == (letter in "abcdefghijklmnopqrstuvwxyz")]
+    drawn = sorted(letters, key=lambda c: hashlib.blake2b(f"initial\0{c}".encode(), key=secret.encode()[:64]).digest())
+    return drawn[letters.index(letter)] if letter in letters else letter
+
+
+def core(secret: str, kind: str, form: str, salt: int) -> str:
+    """The surrogate of a part as it is written out, in its normal form; two parts of a kind may not share it. A name's
+    parts are words; of the other types ``form`` is the value as written."""
+    if kind in ("given", "surname"):
+        return _made_up(secret, kind, form, salt)
+    return normal(kind, surrogate(secret, kind, form, {parts_of(kind, form)[0]: salt}))
 
 
 def _cased(word: str, like: str) -> str:
@@ -263,7 +279,7 @@ def surrogate(secret: str, kind: str, value: str, salts: dict[tuple[str, str], i
             if re.fullmatch(_PARTICLE, w):
                 return w
             if len(w) == 1:
-                return _cased(_made_up(secret, "initial", w.lower(), 0)[0], w)
+                return _initial(secret, w.lower()).upper() if w.isupper() else _initial(secret, w.lower())
             part = ("given" if w.lower() == given else "surname", w.lower())
             return _cased(_made_up(secret, *part, salt(part), gender), w)
 
@@ -282,32 +298,57 @@ def surrogate(secret: str, kind: str, value: str, salts: dict[tuple[str, str], i
             return w if _KEPT.match(w) or len(w) < 3 else _cased(_made_up(secret, "place", w.lower(), salt(part)), w)
 
         return re.sub(rf"\d[\w]*|{_WORD}", place, value)
-    digits = re.sub(r"\d", lambda _: str(next(n) % 10), value)
-    return (value[: len(value) - len(value.lstrip("+0"))] + digits[len(value) - len(value.lstrip("+0")) :]) if kind == "phone" else digits
+    lead = len(value) - len(value.lstrip("+0")) if kind == "phone" else 0
+    return value[:lead] + re.sub(r"\d", lambda _: str(next(n) % 10), value)[lead:]
+
+
+#: Rounds of salting after which too many parts share too few surrogates of their form.
+ROUNDS = 64
 
 
 def colliding(found: DataFrame, secret: str) -> DataFrame:
-    """``kind, identity, salt``: parts whose surrogate another part of the kind has too, all but one of each such group."""
+    """``kind, identity, salt``: parts whose surrogate as written out another part of the kind has too, all but one of each
+    such group, with a salt that parts them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    What got a new salt is checked again with all others, until no two parts share a surrogate. A part that is written
+    in several forms must differ in each of them, and moves as a whole.
+    """
+
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = sorted({p for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for p in parts_of(k, v)})
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([i for _, i in rows], pa.string()), pa.array([core(secret, k, i, 0) for k, i in rows], pa.string())], ["kind", "identity", "core"])
+            rows = sorted({(*p, p[1] if k == "name" else v) for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for p in parts_of(k, v)})
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["kind", "identity", "form"])
 
-    parts = found.select("pii_type", "pii_value").distinct().mapInArrow(run, "kind string, identity string, core string").distinct()
-    rank = F.row_number().over(Window.partitionBy("kind", "core").orderBy("identity")) - 1
-    return parts.withColumn("salt", rank).where("salt > 0").select("kind", "identity", "salt")
+    def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, own, salts = (batch.column(c).to_pylist() for c in ("kind", "form", "salt"))
+            out = [core(secret, *row) for row in zip(kinds, own, salts)]
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("identity"), batch.column("salt"), pa.array(out, pa.string())], ["kind", "identity", "salt", "core"])
+
+    parts = found.select("pii_type", "pii_value").distinct().mapInArrow(forms, "kind string, identity string, form string").distinct()
+    state = cut_lineage(parts.withColumn("salt", F.lit(0)))
+    # Those of the lowest salt stay, so that what is settled doesn't move.
+    taken = F.dense_rank().over(Window.partitionBy("kind", "core").orderBy("salt", "identity")) > 1
+    for _ in range(ROUNDS):
+        made = state.mapInArrow(emitted, "kind string, identity string, salt int, core string").distinct()
+        moved = cut_lineage(made.withColumn("taken", taken).where("taken").select("kind", "identity", F.lit(1).alias("more")).distinct())
+        if not moved.limit(1).count():
+            return state.where("salt > 0").select("kind", "identity", "salt").distinct()
+        state = cut_lineage(state.join(moved, ["kind", "identity"], "left").withColumn("salt", F.col("salt") + F.coalesce("more", F.lit(0))).drop("more"))
+    raise ValueError(f"After {ROUNDS} rounds different values still share a surrogate: their form has too few surrogates.")
 
 
 def pseudonymise(df: DataFrame, key: str, text: str, secret: str, given: frozenset[str]) -> DataFrame:
     """``key, redacted, pseudonymised, n_found``: each row's text with typed placeholders, and with keyed surrogates.
 
     One identity has one surrogate wherever it occurs, and different ones stay different: parts whose
-    surrogates collide get a further number in their key. Null and blank texts come out as they are. A key that
+    surrogates collide as written out get a further number in their key, until none do. Null and blank texts come out as they are. A key that
     occurs in several rows is replaced in each of them.
     """
-    found = detect(df, key, text, given)
     kind = df.schema[key].dataType.simpleString()
+    # A row without a key is known by its text, which settles what is found in it.
+    rows = df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).withColumn("row_key", F.coalesce(F.concat(F.lit("k"), "k"), F.sha2("t", 256)))
+    found = cut_lineage(detect(rows, "row_key", "t", given).select("row_key", "pii_type", "pii_value").distinct())
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,7 +357,7 @@ def pseudonymise(df: DataFrame, key: str, text: str, secret: str, given: frozens
 
     salts = found.mapInArrow(parts, "row_key string, kind string, identity string").distinct().join(colliding(found, secret), ["kind", "identity"])
     per_row = salts.groupBy("row_key").agg(F.collect_list(F.struct("kind", "identity", "salt")).alias("salts"))
-    joined = df.select(F.col(key).cast("string").alias("row_key"), F.col(text).alias("t")).join(per_row, "row_key", "left")
+    joined = rows.join(per_row, "row_key", "left").select("k", "t", "salts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
