@@ -194,6 +194,16 @@ def test_initials_stay_apart_and_rows_without_key_are_salted(spark):
     assert len({r["pseudonymised"] for r in personal_data.pseudonymise(df, "id", "t", "k", GIVEN).collect()}) == 90
 
 
+def test_a_name_has_one_surrogate_with_and_without_a_title(spark):
+    texts = ["Reported to Mr Haruto Vance", "Signed: Haruto Vance", "Signed: Haruto Ardley", "Reported to Ms Haruto Vance\nReference: Mr Haruto Vance", "Reported to Mr Lubna Vance", "Signed: Zoë Vance"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    out = {r["id"]: r["pseudonymised"] for r in personal_data.pseudonymise(df, "id", "t", "k", GIVEN).collect()}
+    given = {personal_data.given_of(out[i][s:]) for i, s in ((0, len("Reported to Mr ")), (1, len("Signed: ")), (2, len("Signed: ")))}
+    assert len(given) == 1 and given.pop().endswith(personal_data._ENDING["m"])
+    assert len({line.split(" ", 3)[-1] for line in out[3].replace("Reference:", "Reported to").split("\n")}) == 1
+    assert personal_data.given_of(out[4][len("Reported to Mr "):]).endswith(personal_data._ENDING["m"])
+
+
 def test_given_names_are_learned(spark):
     df = spark.createDataFrame([("Name: Zoë Lusk",), ("my name is zoë lusk and I was born",), ("Signed: Harlan Vance Ltd",), (None,)], "t string")
     assert personal_data.learn_given_names(df, "t") == {"zoë"}

@@ -185,14 +185,21 @@ def learn_given_names(df: DataFrame, text: str) -> frozenset[str]:
 
 
 def detect(df: DataFrame, key: str, text: str, given: frozenset[str], whole_value: bool = False) -> DataFrame:
-    """``row_key string, start int, stop int, pii_type, pii_value``: every finding of every row; offsets in characters.
+    """``row_key string, start int, stop int, pii_type string, pii_value string``: every finding of every row; offsets in
+    characters.
 
     Null and blank texts have none. Rows are independent; nothing is shuffled.
     """
+    return _detect_titled(df, key, text, given, whole_value).drop("gender")
+
+
+def _detect_titled(df: DataFrame, key: str, text: str, given: frozenset[str], whole_value: bool = False) -> DataFrame:
+    """As ``detect``, with the gender that a title before a name tells, else an empty one."""
+    schema = "row_key string, start int, stop int, pii_type string, pii_value string, gender string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, starts, stops, kinds, values = [], [], [], [], []
+            keys, starts, stops, kinds, values, genders = [], [], [], [], [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not t or not t.strip():
                     continue
@@ -203,9 +210,12 @@ def detect(df: DataFrame, key: str, text: str, given: frozenset[str], whole_valu
                     stops.append(e + cut)
                     kinds.append(kind)
                     values.append(inner[s:e])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["row_key", "start", "stop", "pii_type", "pii_value"])
+                    title = re.search(r"(\w+)\.?[ \t]+$", inner[max(0, s - 8) : s]) if kind == "name" else None
+                    genders.append(_TITLE_GENDER.get(title[1].lower(), "") if title else "")
+            columns = [pa.array(keys, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), *(pa.array(c, pa.string()) for c in (kinds, values, genders))]
+            yield pa.RecordBatch.from_arrays(columns, ["row_key", "start", "stop", "pii_type", "pii_value", "gender"])
 
-    return df.select(F.col(key).cast("string"), F.col(text)).mapInArrow(run, "row_key string, start int, stop int, pii_type string, pii_value string")
+    return df.select(F.col(key).cast("string"), F.col(text)).mapInArrow(run, schema)
 
 
 # The sounds surrogates are made of, and the ending of a given name by gender.
@@ -254,11 +264,16 @@ def _initial(secret: str, letter: str) -> str:
     return drawn[letters.index(letter)] if letter in letters else letter
 
 
-def core(secret: str, kind: str, form: str, salt: int) -> str:
+def _own_gender(given: str | None) -> str:
+    """The gender of a given name that no title tells."""
+    return "f" if given and given.endswith("a") else ""
+
+
+def core(secret: str, kind: str, form: str, salt: int, gender: str = "") -> str:
     """The surrogate of a part as it is written out, in its normal form; two parts of a kind may not share it. A name's
     parts are words; of the other types ``form`` is the value as written."""
     if kind in ("given", "surname"):
-        return _made_up(secret, kind, form, salt)
+        return _made_up(secret, kind, form, salt, gender)
     return normal(kind, surrogate(secret, kind, form, {parts_of(kind, form)[0]: salt}))
 
 
@@ -266,13 +281,13 @@ def _cased(word: str, like: str) -> str:
     return word.upper() if like.isupper() and len(like) > 1 else word.capitalize() if like[:1].isupper() else word
 
 
-def surrogate(secret: str, kind: str, value: str, salts: dict[tuple[str, str], int], title: str = "") -> str:
-    """A replacement of the same type, case, gender and format. Names in another script keep that script's
-    words apart but come out in Latin letters with the same case."""
+def surrogate(secret: str, kind: str, value: str, salts: dict[tuple[str, str], int], genders: dict[str, str] | None = None) -> str:
+    """A replacement of the same type, case, gender and format; ``genders`` has those of given names as they are settled
+    over the table. Names in another script keep that script's words apart but come out in Latin letters with the same case."""
     salt = lambda part: salts.get(part, 0)
     if kind == "name":
         given = given_of(value)
-        gender = _TITLE_GENDER.get(title.lower().rstrip("."), "f" if given and given.endswith(("a", "ia")) else "")
+        gender = (genders or {}).get(given, _own_gender(given))
 
         def word(m: re.Match) -> str:
             w = m[0]
@@ -306,9 +321,23 @@ def surrogate(secret: str, kind: str, value: str, salts: dict[tuple[str, str], i
 ROUNDS = 64
 
 
+def settled_genders(found: DataFrame) -> DataFrame:
+    """``kind, identity, told``: the gender that most titles before a given name tell, over all findings; none where they balance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(g, t) for v, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (g := given_of(v))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], ["identity", "told"])
+
+    told = found.where("pii_type = 'name' and gender <> ''").select("pii_value", "gender").mapInArrow(run, "identity string, told string")
+    votes = told.groupBy("identity").agg(F.sum(F.when(F.col("told") == "m", 1).otherwise(-1)).alias("m"))
+    return votes.where("m <> 0").select(F.lit("given").alias("kind"), "identity", F.when(F.col("m") > 0, "m").otherwise("f").alias("told"))
+
+
 def colliding(found: DataFrame, secret: str) -> DataFrame:
-    """``kind, identity, salt``: parts whose surrogate as written out another part of the kind has too, all but one of each
-    such group, with a salt that parts them.
+    """``kind, identity, salt, gender``: what the surrogates of parts need beyond the parts themselves. These are parts whose surrogate as written out another part of the kind has too, all but one of each
+    such group, with a salt that parts them; and given names whose titles (column ``gender`` of ``found``, if it has one)
+    tell another gender than their ending, so that a name has one surrogate with and without a title.
 
     What got a new salt is checked again with all others, until no two parts share a surrogate. A part that is written
     in several forms must differ in each of them, and moves as a whole.
@@ -321,11 +350,15 @@ def colliding(found: DataFrame, secret: str) -> DataFrame:
 
     def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, own, salts = (batch.column(c).to_pylist() for c in ("kind", "form", "salt"))
-            out = [core(secret, *row) for row in zip(kinds, own, salts)]
+            out = [core(secret, *row) for row in zip(*(batch.column(c).to_pylist() for c in ("kind", "form", "salt", "gender")))]
             yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("identity"), batch.column("salt"), pa.array(out, pa.string())], ["kind", "identity", "salt", "core"])
 
     parts = found.select("pii_type", "pii_value").distinct().mapInArrow(forms, "kind string, identity string, form string").distinct()
+    own = F.when((F.col("kind") == "given") & F.col("identity").endswith("a"), "f").otherwise("")
+    if "gender" in found.columns:
+        parts = parts.join(settled_genders(found), ["kind", "identity"], "left").withColumn("gender", F.coalesce("told", own)).drop("told")
+    else:
+        parts = parts.withColumn("gender", own)
     state = cut_lineage(parts.withColumn("salt", F.lit(0)))
     # Those of the lowest salt stay, so that what is settled doesn't move.
     taken = F.dense_rank().over(Window.partitionBy("kind", "core").orderBy("salt", "identity")) > 1
@@ -333,7 +366,7 @@ def colliding(found: DataFrame, secret: str) -> DataFrame:
         made = state.mapInArrow(emitted, "kind string, identity string, salt int, core string").distinct()
         moved = cut_lineage(made.withColumn("taken", taken).where("taken").select("kind", "identity", F.lit(1).alias("more")).distinct())
         if not moved.limit(1).count():
-            return state.where("salt > 0").select("kind", "identity", "salt").distinct()
+            return state.where((F.col("salt") > 0) | (F.col("gender") != own)).select("kind", "identity", "salt", "gender").distinct()
         state = cut_lineage(state.join(moved, ["kind", "identity"], "left").withColumn("salt", F.col("salt") + F.coalesce("more", F.lit(0))).drop("more"))
     raise ValueError(f"After {ROUNDS} rounds different values still share a surrogate: their form has too few surrogates.")
 
@@ -348,7 +381,7 @@ def pseudonymise(df: DataFrame, key: str, text: str, secret: str, given: frozens
     kind = df.schema[key].dataType.simpleString()
     # A row without a key is known by its text, which settles what is found in it.
     rows = df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).withColumn("row_key", F.coalesce(F.concat(F.lit("k"), "k"), F.sha2("t", 256)))
-    found = cut_lineage(detect(rows, "row_key", "t", given).select("row_key", "pii_type", "pii_value").distinct())
+    found = cut_lineage(_detect_titled(rows, "row_key", "t", given).select("row_key", "pii_type", "pii_value", "gender").distinct())
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,7 +389,7 @@ def pseudonymise(df: DataFrame, key: str, text: str, secret: str, given: frozens
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["row_key", "kind", "identity"])
 
     salts = found.mapInArrow(parts, "row_key string, kind string, identity string").distinct().join(colliding(found, secret), ["kind", "identity"])
-    per_row = salts.groupBy("row_key").agg(F.collect_list(F.struct("kind", "identity", "salt")).alias("salts"))
+    per_row = salts.groupBy("row_key").agg(F.collect_list(F.struct("kind", "identity", "salt", "gender")).alias("salts"))
     joined = rows.join(per_row, "row_key", "left").select("k", "t", "salts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,11 +398,11 @@ def pseudonymise(df: DataFrame, key: str, text: str, secret: str, given: frozens
             for t, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 spans = find_personal_data(t, given) if t and t.strip() else []
                 salt = {(x["kind"], x["identity"]): x["salt"] for x in own or ()}
+                genders = {x["identity"]: x["gender"] for x in own or () if x["kind"] == "given"}
                 a, b, at = [], [], 0
                 for s, e, k in spans:
-                    title = re.search(r"(\w+)\.?[ \t]+$", t[max(0, s - 8) : s])
                     a += [t[at:s], f"[{k.upper()}]"]
-                    b += [t[at:s], surrogate(secret, k, t[s:e], salt, title[1] if title else "")]
+                    b += [t[at:s], surrogate(secret, k, t[s:e], salt, genders)]
                     at = e
                 shown.append(t if not spans else "".join([*a, t[at:]]))
                 changed.append(t if not spans else "".join([*b, t[at:]]))
