@@ -149,3 +149,38 @@ def test_two_columns(spark):
     words = df.withColumnRenamed("text", "word").withColumn("word", F.when(F.col("word") == "l1", "Docker,").otherwise("x"))
     boxes = layout.highlight_boxes(words, spark.createDataFrame([("docker", "preferred"), ("Docker", "unverified")], "skill string, category string")).collect()
     assert len(boxes) == 1 and boxes[0]["category"] == "unverified" and 0 < boxes[0]["bx0"] < boxes[0]["bx1"] <= 1
+
+
+def test_semantic_score_of_whole_texts_per_pair(spark):
+    import re
+    from collections import Counter
+
+    from vitaeflow.plans import match_queries, registry
+
+    texts = {
+        1: "Built data pipelines with Spark and Python daily.\nLed a team of nurses at night.\nWrote data reports in Python for sales.",
+        2: "Cooked meals for large hotel kitchens.\nKept stock of kitchen supplies.",
+        7: "We need data pipelines with Spark and Python.\nReports for the sales team are written weekly.",
+        8: "Cook meals for hotel kitchens every day.\nUnrelated quantum gravity lecture halls.",
+    }
+    pairs = [(1, 7), (2, 7), (1, 8), (2, 8)]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    m = match_queries._best_sentences(spark.createDataFrame(pairs, "doc_id long, job_id long"), df)
+    got = {(r["pair"]["doc_id"], r["pair"]["job_id"]): r["score"] for r in V.semantic_score(m, "pair").collect()}
+
+    def terms(t):
+        w = [x for x in re.findall(r"[a-z0-9][a-z0-9+#]+", t.lower()) if x not in V.STOP_WORDS]
+        return Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+
+    for doc, job in pairs:
+        left, right = ([terms(t) for t in texts[i].split("\n")] for i in (job, doc))
+        df_of, n = Counter(t for c in left + right for t in c), len(left + right)
+        unit = []
+        for c in left + right:
+            x = {t: (1 + math.log(k)) * (math.log((1 + n) / (1 + df_of[t])) + 1) for t, k in c.items()}
+            norm = math.sqrt(sum(v * v for v in x.values()))
+            unit.append({t: v / norm for t, v in x.items()})
+        best = [max(sum(v * r.get(t, 0) for t, v in u.items()) for r in unit[len(left) :]) for u in unit[: len(left)]]
+        assert got[doc, job] == pytest.approx(sum(best) / len(best), abs=1e-4)
+    assert len(got) == len(pairs) and got[1, 7] > 0.2 and got[2, 7] == 0
+    assert {"application_sentences", "application_semantic"} <= set(registry.queries())

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from vitaeflow.operators import matching as M
 from vitaeflow.operators import similarity as V
 from vitaeflow.operators import skills as S
+from vitaeflow.operators import text as X
 from vitaeflow.plans.profile_queries import _doc_lines, skill_evidence, skill_last_used
 from vitaeflow.plans.text_queries import _DOCS, _LINES, _TOKENS, _mentions, docs
+from vitaeflow.sources.scratch import cut_lineage
 from vitaeflow.sources.tables import latest_by_key, read_table
 
 
@@ -126,6 +128,31 @@ def semantic_normalized(spark, d):
     return m.select("item_id", F.round(V.normalize_similarity(F.col("cosine"), 0.0, 0.3), 4).alias("similarity"))
 
 
+def _best_sentences(pairs, texts):
+    """For each sentence chunk of an advert the closest one of the resume; idf fitted over both texts of the pair.
+
+    ``pairs``: doc_id, job_id; ``texts``: doc_id, text."""
+    chunks = cut_lineage(texts.select("doc_id", X.sentence_chunks(X.light_clean(F.col("text"))).alias("chunks")))
+    side = lambda key, name: pairs.join(chunks.withColumnRenamed("doc_id", key), key).select(F.struct("doc_id", "job_id").alias("pair"), F.lit(name).alias("side"), F.posexplode("chunks").alias("chunk", "t"))
+    return V.best_matches(side("job_id", "job").unionByName(side("doc_id", "resume")), "pair", "side", "chunk", "t", "job", "resume")
+
+
+def _application_sentences(spark, d):
+    return _best_sentences(cut_lineage(_applications(spark, d).select("doc_id", "job_id")), docs(spark, d).select("doc_id", "text"))
+
+
+def application_sentences(spark, d):
+    """Each sentence of an advert with the closest one of each resume that applies, over the whole texts."""
+    m = _application_sentences(spark, d)
+    return m.select("pair.doc_id", "pair.job_id", F.col("chunk").cast("bigint").alias("chunk"), F.col("best").cast("bigint").alias("best"), F.round("cosine", 4).alias("cosine"))
+
+
+def application_semantic(spark, d):
+    """The semantic score of each application, and on the scale of scores."""
+    s = V.semantic_score(_application_sentences(spark, d), "pair")
+    return s.select("pair.doc_id", "pair.job_id", "score", F.round(V.normalize_similarity(F.col("score"), 0.2, 0.65), 4).alias("similarity"))
+
+
 def embed_best_match(spark, d):
     """The five nearest vectors of each vector whose id is divisible by 100, among all."""
     v = read_table(spark, d, "embeddings").select("vec_id", "embedding")
@@ -191,4 +218,4 @@ SELECT a, b, cosine FROM (SELECT p.k AS a, q.k AS b, round(sum(p.w * q.w), 6) AS
     "job_requirements": _JOB + " SELECT job_id, array_to_string(required, ';') AS required, array_to_string(preferred, ';') AS preferred FROM jobs UNION ALL SELECT doc_id, '', '' FROM (SELECT DISTINCT doc_id FROM ments JOIN parts USING (doc_id, line_no) WHERE doc_id IN (FROM ads) AND doc_id NOT IN (SELECT job_id FROM jobs))",
 }
 
-QUERIES = {f.__name__: f for f in (job_parts, job_families, job_requirements, skill_gap, coverage_plain, coverage_adjusted, recency_group_score, rank_topn, score_all_modes, exact_dedup, near_dup_edges, near_dup_groups, tfidf_pair_cosine, semantic_normalized, embed_best_match, embed_meanpool, term_suggestions)}
+QUERIES = {f.__name__: f for f in (job_parts, job_families, job_requirements, skill_gap, coverage_plain, coverage_adjusted, recency_group_score, rank_topn, score_all_modes, exact_dedup, near_dup_edges, near_dup_groups, tfidf_pair_cosine, semantic_normalized, application_sentences, application_semantic, embed_best_match, embed_meanpool, term_suggestions)}
