@@ -184,3 +184,9 @@ def test_semantic_score_of_whole_texts_per_pair(spark):
         assert got[doc, job] == pytest.approx(sum(best) / len(best), abs=1e-4)
     assert len(got) == len(pairs) and got[1, 7] > 0.2 and got[2, 7] == 0
     assert {"application_sentences", "application_semantic"} <= set(registry.queries())
+
+
+def test_top_confusions(spark):
+    rows = [("a", "b")] * 3 + [("b", "a")] * 3 + [("a", "a")] * 9 + [("c", "a")] * 5 + [("b", "c"), ("c", "b"), ("a", "c"), (None, "a"), ("a", None)]
+    got = [tuple(r) for r in metrics.top_confusions(spark.createDataFrame(rows, "x string, y string"), "x", "y").collect()]
+    assert got == [("c", "a", 5), ("a", "b", 3), ("b", "a", 3), ("a", "c", 1), ("b", "c", 1)]

@@ -94,6 +94,12 @@ def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
 
 
+def top_confusions(df: DataFrame, actual: str, predicted: str, n: int = 5) -> DataFrame:
+    """``actual, predicted, n``: the n most frequent mix-ups of two labels, ties by name."""
+    c = confusion(df.where(F.col(actual) != F.col(predicted)), actual, predicted)
+    return c.orderBy(F.desc("n"), "actual", "predicted").limit(n)
+
+
 def classification_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """``label, precision, recall, f1, support`` of each label that is actual or predicted; from the confusion counts."""
     c = confusion(df, actual, predicted)

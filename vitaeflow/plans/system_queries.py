@@ -43,6 +43,11 @@ def role_report(spark, d):
     return M.classification_report(roles.held_out(_titled(spark, d), "doc_id", "text", "kind"), "actual", "predicted")
 
 
+def role_confusions(spark, d):
+    """The five most common mix-ups of kinds on a fold that the model hasn't seen."""
+    return M.top_confusions(roles.held_out(_titled(spark, d), "doc_id", "text", "kind"), "actual", "predicted")
+
+
 def role_uncertainty(spark, d):
     return M.uncertainty(roles.held_out(_titled(spark, d), "doc_id", "text", "kind"), "probability", "actual", "predicted", roles.UNCERTAIN)
 
@@ -74,4 +79,4 @@ SQL = {
     "document_facets": "WITH t AS (SELECT doc_id, coalesce(any_value(lang), '-') AS lang, coalesce(any_value(doc_kind), '-') AS kind, any_value(n_chars) AS n_chars FROM documents GROUP BY 1) SELECT lang, kind, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(grouping_id(lang, kind) AS INTEGER) AS level FROM t GROUP BY CUBE (lang, kind)",
 }
 
-QUERIES = {f.__name__: f for f in (screening_profile, request_hashes, role_topk, role_report, role_uncertainty, event_days, event_sessions, document_facets)}
+QUERIES = {f.__name__: f for f in (screening_profile, request_hashes, role_topk, role_report, role_confusions, role_uncertainty, event_days, event_sessions, document_facets)}
