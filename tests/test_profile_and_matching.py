@@ -190,3 +190,10 @@ def test_top_confusions(spark):
     rows = [("a", "b")] * 3 + [("b", "a")] * 3 + [("a", "a")] * 9 + [("c", "a")] * 5 + [("b", "c"), ("c", "b"), ("a", "c"), (None, "a"), ("a", None)]
     got = [tuple(r) for r in metrics.top_confusions(spark.createDataFrame(rows, "x string, y string"), "x", "y").collect()]
     assert got == [("c", "a", 5), ("a", "b", 3), ("b", "a", 3), ("a", "c", 1), ("b", "c", 1)]
+
+
+def test_groups_that_have_not_settled_are_told(spark):
+    nodes, edges = spark.range(1, 21), spark.createDataFrame([(i, i + 1) for i in range(1, 20)], "a long, b long")
+    assert {r["group"] for r in V.connected_groups(nodes, edges).collect()} == {1}
+    with pytest.raises(ValueError, match="settled"):
+        V.connected_groups(nodes, edges, rounds=1)

@@ -94,7 +94,7 @@ def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def connected_groups(nodes: DataFrame, edges: DataFrame, node: str = "id", rounds: int = 50) -> DataFrame:
     """``node, group``: the smallest node that can be reached. Each round takes the smallest label among neighbours and
-    then the label of the label, which halves the way; stops where nothing changes."""
+    then the label of the label, which halves the way; stops where nothing changes, and raises where that isn't reached."""
     both = cut_lineage(edges.select(F.col("a"), F.col("b")).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut_lineage(nodes.select(F.col(node).alias("n"), F.col(node).alias("g")).distinct())
     for _ in range(rounds):
@@ -105,6 +105,8 @@ def connected_groups(nodes: DataFrame, edges: DataFrame, node: str = "id", round
         if not labels.where("g <> old").limit(1).count():
             break
         labels = labels.select("n", "g")
+    else:
+        raise ValueError(f"The groups have not settled after {rounds} rounds.")
     return labels.select(F.col("n").alias(node), F.col("g").alias("group"))
 
 
