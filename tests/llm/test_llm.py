@@ -134,9 +134,33 @@ def test_no_entries_and_no_values(mapped):
     assert canonical.map_to_canonical(values.limit(0), refs).count() == 0
 
 
+def test_unrelated_names_hardly_meet(spark):
+    rng = random.Random(8)
+    name = lambda: "".join(rng.choice("aabcdeeefghiijklmnooprsttuvwyz") for _ in range(rng.randrange(6, 15)))
+    refs = spark.createDataFrame([(i, "t", name()) for i in range(1000)], "ref_id int, kind string, canonical string")
+    typed = spark.createDataFrame([("t", name()) for _ in range(2000)], "kind string, s string").distinct()
+    forms = canonical.reference_forms(refs, "kind", "ref_id", "canonical")
+    assert canonical.edit_candidates(typed, forms).count() < 20_000
+    assert canonical.word_candidates(typed.select(typed.s.alias("w")), forms.select(forms.s.alias("r")).distinct()).count() < 20_000
+
+
+def test_many_shortened_words(spark):
+    refs = spark.createDataFrame([(1, "t", "head of regional sales planning and market research operations"), (2, "t", "assistant"), (3, "t", "regional sales manager")], "ref_id int, kind string, canonical string")
+    typed = {"head of reg. sls planning and mkt research operations": 1, "assist": 2, "rgnl sls mgr": 3, "sls mgr regional": 3, "ast": 0, "xx yy zz": 0}
+    values = spark.createDataFrame([("t", v) for v in typed], "kind string, raw string")
+    assert {r["raw"]: r["ref_id"] for r in canonical.map_to_canonical(values, refs).collect()} == typed
+
+
 # -- personal data ---------------------------------------------------------------------------------------------
 
 GIVEN = frozenset({"zoë", "haruto", "lubna"})
+KEY = "a key of this test"
+
+
+def lexicon(spark):
+    return spark.createDataFrame([(g,) for g in sorted(GIVEN)], "given string")
+
+
 CV = "Name: Zoë van der Luskazar\nZOE_L+JOBS@MAILBOX.EXAMPLE | ☎ +44 7700 900123 ext. 12\nHome: Flat 6A, 75 Rookery Street, Corvale XV29 3AQ\nSSN: 00967-2385054-4, ticket INC-6699-6366346, part number 555-9564-B\nReported to Lubna Savquist at Harlan Vance GmbH. Haruto Vance Ltd, build 10.1.72, 1 200 000 units, 2018-2021"
 
 
@@ -148,7 +172,7 @@ def test_findings():
 def test_surrogates_keep_identity_and_form(spark):
     rows = [(1, CV, "p"), (1, CV, "q"), (2, "Signed: Lubna Savquist\r\nlubna (at) post.test, +44 7700 900123", None), (3, None, None), (4, " ", None), (5, "1 " * 50_000 + "@" * 5000 + "a." * 20_000, None), (None, "Signed: Haruto Ardley", "r")]
     df = spark.createDataFrame(rows, "id long, t string, redacted string")
-    out = [r.asDict() for r in personal_data.pseudonymise(df, "id", "t", "secret", GIVEN).collect()]
+    out = [r.asDict() for r in personal_data.pseudonymise(df, "id", "t", KEY, lexicon(spark)).collect()]
     assert len(out) == len(rows)
     by = {r["id"]: r for r in out}
     assert by[3]["redacted"] is None and by[4]["redacted"] == " " and by[None]["redacted"] == "Signed: [NAME]"
@@ -159,10 +183,73 @@ def test_surrogates_keep_identity_and_form(spark):
 
 
 def test_colliding_surrogates_are_parted(spark, monkeypatch):
-    monkeypatch.setattr(personal_data, "core", lambda *a: "same")
-    found = spark.createDataFrame([("email", "a@b.test"), ("email", "c@d.test"), ("email", "a (at) b.test")], "pii_type string, pii_value string")
+    # All e-mail addresses of one salt share a surrogate: each must get a salt of its own, and forms of one address share theirs.
+    monkeypatch.setattr(personal_data, "core", lambda secret, kind, form, salt, gender="": f"{kind} {salt}")
+    found = spark.createDataFrame([("email", "a@b.test"), ("email", "c@d.test"), ("email", "a (at) b.test"), ("email", "e@f.test")], "pii_type string, pii_value string")
+    salts = {r["identity"]: r["salt"] for r in personal_data.colliding(found, KEY).collect()}
     parts = [personal_data.parts_of(r[0], r[1])[0] for r in found.collect()]
-    assert parts[0] == parts[2] != parts[1]
+    assert parts[0] == parts[2] and sorted(salts.get(i, 0) for i in {p[1] for p in parts}) == [0, 1, 2]
+
+
+def _many(kind, n):
+    rng = random.Random(len(kind))
+    word = lambda k: "".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(k)).capitalize()
+    make = {
+        "email": lambda i: f"{word(3).lower()}.{i}@{word(2).lower()}.test", "phone": lambda i: f"+44 7700 9{i:05d}", "id_number": lambda i: f"AB {i // 10000 % 100:02d} {i // 100 % 100:02d} {i % 100:02d} C",
+        "address": lambda i: f"{i} High Street, Leeds LS{i % 9} {i % 7}AB", "name": lambda i: f"{word(2)} {word(4)}",
+    }[kind]
+    return sorted({make(i) for i in range(n)})
+
+
+@pytest.mark.parametrize("kind", personal_data.TYPES)
+def test_ten_thousand_values_stay_apart(spark, kind):
+    values = _many(kind, 10_000)
+    found = spark.createDataFrame([(v, kind, "") for v in values], "pii_value string, pii_type string, gender string")
+    made = {r["pii_value"]: r["surrogate"] for r in personal_data.with_surrogates(found, KEY).collect()}
+    assert len(made) == len(values) > 9_000
+    assert len({personal_data.normal(kind, x) for x in made.values()}) == len({personal_data.normal(kind, v) for v in values})
+    assert sum(made[v] == v for v in values) == 0
+
+
+def test_form_of_surrogates():
+    make = lambda kind, v: personal_data.surrogate(KEY, kind, v, {})
+    assert make("phone", "+44 7700 900123 ext. 12").startswith("+44 ") and make("phone", "0049-30-1234567").startswith("0049-") and make("phone", "+1 (652) 555-0175")[:4] == "+1 (" and make("phone", "0171 2345678")[0] == "0"
+    nino, dni, rut = make("id_number", "AB123456C"), make("id_number", "12345678Z"), make("id_number", "12.345.678-5")
+    assert nino[:2] != "AB" and nino[-1] in "ABD" and dni[-1] == "TRWAGMYFPDXBNJZSQVHLCKE"[int(dni[:8]) % 23]
+    body = [int(c) for c in rut[:-2] if c.isdigit()][::-1]
+    check = 11 - sum(d * (2 + i % 6) for i, d in enumerate(body)) % 11
+    assert rut[-1] == {11: "0", 10: "K"}.get(check, str(check)) and rut[2] == "." and rut[-2] == "-"
+    address = make("address", "Flat 6A, 75 Rookery Street, Corvale XV29 3AQ")
+    assert address.startswith("Flat ") and " Street, " in address and "XV" not in address and not address.endswith("AQ") and "Corvale" not in address
+
+
+@pytest.mark.parametrize("text, name, low, high", [("ФИО: Иван Петров", "Иван Петров", 0x400, 0x52F), ("Name: Νίκος Παπαδόπουλος", "Νίκος Παπαδόπουλος", 0x370, 0x3FF), ("الاسم: محمد السيد", "محمد السيد", 0x600, 0x6FF), ("姓名：王小明", "王小明", 0x4E00, 0x9FFF), ("이름: 김민준", "김민준", 0xAC00, 0xD7A3), ("氏名: タナカハナコ", "タナカハナコ", 0x30A0, 0x30FF)])
+def test_names_in_other_scripts(text, name, low, high):
+    (start, end, kind), = personal_data.find_personal_data(text + "\nx", GIVEN)
+    assert (text[start:end], kind) == (name, "name")
+    made = personal_data.surrogate(KEY, "name", name, {})
+    assert made != name and all(low <= ord(c) <= high for c in made if c != " ") and made.count(" ") == name.count(" ")
+
+
+def test_surnames_before_given_names_however_long():
+    long = "Lusk" * 40
+    text = f"met van der {long}, Haruto B. today"
+    assert [text[s:e] for s, e, _ in personal_data.find_personal_data(text, GIVEN)] == [f"van der {long}, Haruto B."]
+
+
+def test_a_weak_key_is_refused(spark):
+    found = spark.createDataFrame([("x@y.test", "email", "")], "pii_value string, pii_type string, gender string")
+    for key in ("", "short", None):
+        with pytest.raises(ValueError):
+            personal_data.with_surrogates(found, key)
+
+
+def test_a_long_lexicon_is_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(1, CV), (2, None), (3, "seen: Haruto Ardley")], "id long, t string")
+    rows = lambda: sorted(map(tuple, personal_data.detect(df, "id", "t", lexicon(spark)).collect()))
+    want = rows()
+    monkeypatch.setattr(personal_data, "LEXICON_BROADCAST", 1)
+    assert rows() == want and len(want) == 7
 
 
 def _emitted(found, salts):
@@ -191,23 +278,23 @@ def test_initials_stay_apart_and_rows_without_key_are_salted(spark):
     names = [f"{c}. Savquist" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
     assert len({personal_data.surrogate("k", "name", n, {}) for n in names}) == 26
     df = spark.createDataFrame([(None, f"PO Box {i}, Saltwyn") for i in range(10, 100)], "id long, t string")
-    assert len({r["pseudonymised"] for r in personal_data.pseudonymise(df, "id", "t", "k", GIVEN).collect()}) == 90
+    assert len({r["pseudonymised"] for r in personal_data.pseudonymise(df, "id", "t", KEY, lexicon(spark)).collect()}) == 90
 
 
 def test_a_name_has_one_surrogate_with_and_without_a_title(spark):
     texts = ["Reported to Mr Haruto Vance", "Signed: Haruto Vance", "Signed: Haruto Ardley", "Reported to Ms Haruto Vance\nReference: Mr Haruto Vance", "Reported to Mr Lubna Vance", "Signed: Zoë Vance"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
-    out = {r["id"]: r["pseudonymised"] for r in personal_data.pseudonymise(df, "id", "t", "k", GIVEN).collect()}
+    out = {r["id"]: r["pseudonymised"] for r in personal_data.pseudonymise(df, "id", "t", KEY, lexicon(spark)).collect()}
     given = {personal_data.given_of(out[i][s:]) for i, s in ((0, len("Reported to Mr ")), (1, len("Signed: ")), (2, len("Signed: ")))}
-    assert len(given) == 1 and given.pop().endswith(personal_data._ENDING["m"])
+    assert len(given) == 1 and given.pop().endswith(personal_data._ENDINGS["latin"]["m"])
     assert len({line.split(" ", 3)[-1] for line in out[3].replace("Reference:", "Reported to").split("\n")}) == 1
-    assert personal_data.given_of(out[4][len("Reported to Mr "):]).endswith(personal_data._ENDING["m"])
+    assert personal_data.given_of(out[4][len("Reported to Mr "):]).endswith(personal_data._ENDINGS["latin"]["m"])
 
 
 def test_given_names_are_learned(spark):
     df = spark.createDataFrame([("Name: Zoë Lusk",), ("my name is zoë lusk and I was born",), ("Signed: Harlan Vance Ltd",), (None,)], "t string")
-    assert personal_data.learn_given_names(df, "t") == {"zoë"}
-    assert personal_data.learn_given_names(df.limit(0), "t") == frozenset()
+    assert {r["given"] for r in personal_data.learn_given_names(df, "t").collect()} == {"zoë"}
+    assert personal_data.learn_given_names(df.limit(0), "t").count() == 0
 
 
 # -- consensus -------------------------------------------------------------------------------------------------

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitaeflow.operators.dedup import one_per_key, unseen
+from vitaeflow.operators.dedup import one_per_key
 
 #: The pattern that splits text before the merges; public together with the vocabulary. White space is named by its property.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -133,24 +133,22 @@ def encode_texts(df: DataFrame, key: str, text: str, vocabulary: str) -> DataFra
     """``key, ids array<int>``, each key once; empty and null texts give an empty list.
 
     ``vocabulary`` is the path of a rank file on the driver; its merges (bounded by the vocabulary) are broadcast. Whole texts
-    are encoded where they are read; of repeated keys a task encodes one, and only ids are shuffled. A null
+    are encoded where they are read, after repeated keys are dropped there; nothing but keys is shuffled. A null
     key counts as one key. Texts of any length work; other columns are ignored.
     """
     merges = df.sparkSession.sparkContext.broadcast(load_merges(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = Encoder(merges.value), set()
+        encoder = Encoder(merges.value)
         for batch in batches:
-            keep = unseen(batch.column(0).to_pylist(), seen)
-            batch = batch if all(keep) else batch.filter(pa.array(keep, pa.bool_()))
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
                 ids, offsets = encoder.encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], ["k", "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    encoded = df.select(F.col(key), F.col(text)).mapInArrow(run, f"k {kind}, ids array<int>")
-    return one_per_key(encoded, "k", before=False).withColumnRenamed("k", key)
+    once = one_per_key(df.select(F.col(key), F.col(text)), key)
+    return once.mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> str:

@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vitaeflow.sources.scratch import cut_lineage
+from vitaeflow.operators.joins import union_all
+from vitaeflow.sources.scratch import broadcaster, cut_lineage
 
-#: Reference rows above which their derived tables are no longer broadcast.
-BROADCAST_ROWS = 50_000
+#: Rows of a table derived from the reference list up to which it is broadcast; a row there has few short keys.
+SMALL_LIST = 20_000
 
 # Letters of other scripts that look like Latin ones.
 _ALIKE = dict(zip("аеорсхуіјѕвкмнтԁɡοαρν", "aeopcxyijsbkmhtdgoapv"))
@@ -33,6 +34,8 @@ _BEFORE = (
     r"|(?:b\.?\s?sc|m\.?\s?sc|b\.?\s?a|m\.?\s?a|b\.?\s?eng|m\.?\s?eng|ph\.?\s?d|mba|hnd|bachelor'?s?|master'?s?|diploma|degree|associate'?s?)\.?(?:\s+degree)?\s+(?:in|of)\s+"
     r"|(?:dept|department|faculty|school|institute)\.?\s+of\s+|(?:major|minor|field|subject)\s*:\s*"
 )
+#: A degree in front without a word that joins it.
+_DEGREE = r"^(?:b\.?sc|m\.?sc|b\.?a|m\.?a|b\.?eng|m\.?eng|ph\.?d|mba|hnd)\.?\s+"
 _AFTER = (
     r"(?:contract(?:or)?|freelance|part[- ]?time|full[- ]?time|temp(?:orary)?|permanent|fixed[- ]term|remote|hybrid|on-?site|night shift|day shift|shift work"
     r"|[mfwdx](?:/[mfwdx]){1,2}|minor|major|honou?rs|hons|(?:1st|2nd|3rd|first|second|third) class|advanced|basic|intermediate|beginner|expert|studies|skills?"
@@ -54,9 +57,9 @@ def _words(text: Column) -> Column:
 
 
 def _allowed(size: Column) -> Column:
-    """Edits looked for at a reference string of so many letters. Beyond one less, the letters must be
-    nearly the same ones in another order: two letters swapped are two edits."""
-    return F.when(size < 6, 2).when(size < 12, 3).otherwise(4)
+    """Edits looked for at a reference string of so many letters; one more is allowed where the letters without their
+    order need no more, since two letters swapped are two edits."""
+    return F.when(size < 6, 1).when(size < 12, 2).otherwise(3)
 
 
 def reference_forms(refs: DataFrame, kind: str, ref_id: str, canonical: str) -> DataFrame:
@@ -79,30 +82,98 @@ def plain_reference(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(value), _FROM, _TO), r"\s+", " "))
 
 
-def _segments(forms: DataFrame) -> DataFrame:
-    """``kind, n, i, seg, ref_id, s, k``: the k + 1 segments of each form of length n."""
-    cut = F.expr(
-        "transform(sequence(0, k), i -> named_struct('i', i, 'seg', substring(s, cast(floor(i * length(s) / (k + 1)) as int) + 1,"
-        " cast(floor((i + 1) * length(s) / (k + 1)) as int) - cast(floor(i * length(s) / (k + 1)) as int))))"
+#: Letters of a segment that go into a join key. A segment that holds an edit-free stretch holds one at its start too.
+_KEY_LETTERS = 12
+
+
+def _bound(i: str, n: str, k: str, shift: str) -> str:
+    """Where segment ``i`` of k + 1 starts, in letters from 0; inner bounds are moved by ``shift``."""
+    return f"cast(floor(({i}) * {n} / ({k} + 1)) as int) + if({i} between 1 and {k}, {shift}, 0)"
+
+
+def _segments(strings: DataFrame, *kept: str, cuts: int = 1) -> DataFrame:
+    """``*kept, n, cut, i, seg``: the k + 1 segments of each string ``s`` of n letters with ``k`` edits. With two ``cuts`` the
+    string is cut a second time, one letter further, so that two swapped letters lie within a segment of one of them."""
+    size = f"({_bound('i + 1', 'length(s)', 'k', 'cut')} - ({_bound('i', 'length(s)', 'k', 'cut')}))"
+    one = F.expr(
+        f"flatten(transform(sequence(0, {cuts - 1}), cut -> transform(sequence(0, k), i -> named_struct('cut', cut, 'i', i, 'seg',"
+        f" substring(s, {_bound('i', 'length(s)', 'k', 'cut')} + 1, least({_KEY_LETTERS}, {size}))))))"
     )
-    return forms.select("kind", F.length("s").alias("n"), "k", "ref_id", "s", F.inline(cut)).where("seg <> ''")
+    return strings.select(*kept, F.length("s").alias("n"), F.inline(one)).where("seg <> ''")
 
 
-def _substrings(values: DataFrame) -> DataFrame:
-    """``v, kind, s, n, i, seg``: for each possible length n of a form and each of its segments, the substrings
-    of the value at the places where that segment can stand after the edits before it."""
+def _substrings(values: DataFrame, edits: str, reach: int, *kept: str, cuts: int = 1) -> DataFrame:
+    """``*kept, n, cut, i, seg``: for each length n that a reference string may have, at most ``reach`` from the value's, and
+    each of its segments, the substrings of ``s`` where that segment can stand: with j edits before it, at most j places
+    off, and with the others after it. ``edits`` is the number of edits by ``n`` in SQL; none where it is null."""
     grid = F.expr(
-        "flatten(transform(sequence(greatest(length(s) - 4, 1), length(s) + 4), n -> "
-        "  flatten(transform(sequence(0, case when n < 6 then 2 when n < 12 then 3 else 4 end), i -> "
-        "    transform(sequence(-i, i), d -> named_struct('n', n, 'i', i, 'd', d))))))"
+        f"flatten(transform(filter(sequence(greatest(length(s) - {reach}, 1), length(s) + {reach}), n -> {edits} is not null), n -> "
+        f"  flatten(transform(sequence(0, {cuts - 1}), cut -> transform(sequence(0, {edits}), i -> named_struct('n', n, 'cut', cut, 'i', i, 'k', {edits}))))))"
+    )
+    g = values.select(*kept, "s", F.inline(grid)).withColumn("delta", F.length("s") - F.col("n")).where("abs(delta) <= k")
+    # Swapped letters move nothing, so the bounds on the places are those of the other edits.
+    g = g.select(*kept, "s", "n", "cut", "i", "k", "delta", F.explode(F.sequence(F.greatest(-F.col("i"), F.col("delta") - F.col("k") + F.col("i")), F.least(F.col("i"), F.col("delta") + F.col("k") - F.col("i")))).alias("d"))
+    g = g.withColumn("from", F.expr(_bound("i", "n", "k", "cut")) + F.col("d")).withColumn("size", F.expr(f"least({_KEY_LETTERS}, {_bound('i + 1', 'n', 'k', 'cut')} - ({_bound('i', 'n', 'k', 'cut')}))"))
+    return g.where("from >= 0 and size > 0 and from + size <= length(s)").select(*kept, "n", "cut", "i", F.expr("substring(s, from + 1, size)").alias("seg"))
+
+
+_LETTERS = "array_join(array_sort(split({0}, '')), '')"
+
+
+def edit_candidates(strings: DataFrame, forms: DataFrame) -> DataFrame:
+    """``kind, s, ref_id, r, k``, distinct: strings and reference strings that share a segment at its place, or all
+    their letters."""
+    edits = "case when n < 6 then 1 when n < 12 then 2 else 3 end"
+    refs = forms.select("kind", "ref_id", "s", "k").distinct()
+    spread = broadcaster(refs, SMALL_LIST)
+    by_place = _substrings(strings, edits, 3, "kind", "s", cuts=2).join(spread(_segments(refs.withColumn("r", F.col("s")), "kind", "ref_id", "r", "k", cuts=2)), ["kind", "n", "cut", "i", "seg"])
+    letters = F.expr(_LETTERS.format("s"))
+    by_letters = strings.withColumn("seg", letters).join(spread(refs.select("kind", "ref_id", F.col("s").alias("r"), "k", letters.alias("seg"))), ["kind", "seg"])
+    columns = ("kind", "s", "ref_id", "r", "k")
+    return by_place.select(*columns).unionByName(by_letters.select(*columns)).distinct()
+
+
+# What a typed word may be of a reference word: the beginning of it, a shortening that keeps its first letter and the
+# order of the others, a word with few edits, or its beginning with few edits; null where it is none of these.
+def _word_cost(w: str, r: str, many: str) -> str:
+    return (
+        f"case when {w} = {r} then 0D"
+        f" when length({w}) >= 2 and startswith({r}, {w}) and ({many} or length({w}) >= 4) then 0.5D"
+        f" when {many} and length({w}) between 2 and length({r}) - 2 and left({w}, 1) = left({r}, 1) and {r} rlike concat('^', regexp_replace({w}, '(.)', '$1.*')) then 0.75D"
+        f" when length({r}) >= 4 and levenshtein({w}, {r}) <= if(length({r}) < 6, 1, 2) then cast(levenshtein({w}, {r}) as double)"
+        f" when length({w}) >= 4 and length({r}) > length({w}) and levenshtein({w}, left({r}, length({w}))) <= if(length({w}) < 7, 1, 2) then 1.5D end"
     )
-    g = values.select("vid", "kind", "s", F.inline(grid)).withColumn("k", _allowed(F.col("n")))
-    start = F.floor(F.col("i") * F.col("n") / (F.col("k") + 1)).cast("int")
-    stop = F.floor((F.col("i") + 1) * F.col("n") / (F.col("k") + 1)).cast("int")
-    delta = F.length("s") - F.col("n")
-    near = (F.abs(delta) <= F.col("k")) & (F.abs(F.col("d") - delta) <= F.col("k") - F.col("i"))
-    g = g.where(near).withColumn("from", start + F.col("d")).where((F.col("from") >= 0) & (F.col("from") + stop - start <= F.length("s")))
-    return g.select("vid", "kind", "s", "n", "i", F.substring(F.col("s"), F.col("from") + 1, stop - start).alias("seg"))
+
+
+def word_candidates(typed: DataFrame, known: DataFrame) -> DataFrame:
+    """``w, r``, distinct: typed and reference words that may stand for each other, by equality joins.
+
+    Beginnings meet on their first six letters, shortenings on their first letter, two that follow it in order and the last
+    (on all of it, where it has no more than three), words with edits and beginnings with edits on a segment at its place.
+    """
+    w, r = typed.select("w").distinct(), known.select("r").distinct()
+    cut = lambda d, c: d.withColumn("s", F.col(c))
+    edits, start_edits = "case when n < 4 then null when n < 6 then 1 else 2 end", "case when n < 4 then null when n < 7 then 1 else 2 end"
+    # Reference words as letters: where each distinct letter after the first stands first and last.
+    spots = F.expr("transform(filter(array_distinct(split(substring(r, 2), '')), c -> c <> ''), c -> named_struct('c', c, 'first', locate(c, r, 2), 'last', length(r) + 1 - locate(c, reverse(r))))")
+    pairs = F.expr("flatten(transform(spots, a -> transform(filter(spots, b -> b.last > a.first), b -> concat(left(r, 1), a.c, b.c))))")
+    triples = F.expr("flatten(flatten(transform(spots, a -> transform(filter(spots, b -> b.last > a.first), b -> transform(filter(spots, e -> e.last > b.first), e -> concat(left(r, 1), a.c, b.c, e.c))))))")
+    twos = F.expr("transform(spots, a -> concat(left(r, 1), a.c))")
+    starts = F.expr("transform(sequence(4, length(r) - 1), n -> left(r, n))")
+    left = [
+        w.select("w", F.concat(F.lit("p"), F.left("w", F.lit(6))).alias("key")), w.where("length(w) > 1").select("w", F.concat(F.lit("s"), F.left("w", F.lit(3)), F.expr("if(length(w) > 3, right(w, 1), '')")).alias("key")),
+        _substrings(cut(w, "w"), edits, 2, "w").select("w", F.concat_ws(":", F.lit("e"), "n", "i", "seg").alias("key")),
+        _substrings(cut(w.where("length(w) > 3"), "w"), start_edits, 0, "w").select("w", F.concat_ws(":", F.lit("b"), "n", "i", "seg").alias("key")),
+    ]
+    begun = r.where("length(r) > 4").select("r", F.explode(starts).alias("s")).withColumn("k", F.when(F.length("s") < 7, 1).otherwise(2))
+    whole = cut(r.where("length(r) > 3"), "r").withColumn("k", F.when(F.length("s") < 6, 1).otherwise(2))
+    right = [
+        r.select("r", F.explode(F.expr("transform(sequence(1, least(6, length(r))), n -> concat('p', left(r, n)))")).alias("key")),
+        r.where("length(r) > 3").withColumn("spots", spots).select("r", F.explode(F.transform(F.concat(triples, pairs, twos), lambda x: F.concat(F.lit("s"), x))).alias("key")),
+        _segments(whole, "r").select("r", F.concat_ws(":", F.lit("e"), "n", "i", "seg").alias("key")), _segments(begun, "r").select("r", F.concat_ws(":", F.lit("b"), "n", "i", "seg").alias("key")),
+    ]
+    keys = union_all(right)
+    return union_all(left).join(broadcaster(known, SMALL_LIST)(keys), "key").select("w", "r").distinct()
 
 
 def _best(found: DataFrame) -> DataFrame:
@@ -110,29 +181,32 @@ def _best(found: DataFrame) -> DataFrame:
     return found.groupBy("kind", "raw").agg(F.min(F.struct("cost", "ref_id")).alias("m")).select("kind", "raw", F.col("m.ref_id").alias("ref_id"), F.col("m.cost").alias("cost"))
 
 
-def _shortened(values: DataFrame, forms: DataFrame, spread) -> DataFrame:
+def _shortened(values: DataFrame, forms: DataFrame) -> DataFrame:
     """Values whose words are, one by one, a form's words, some shortened, some with few edits.
 
-    They meet on their initials, of which one may differ. A shortened word keeps its first letter and
-    the order of its letters; a single word must be the beginning of the form's.
+    Typed words first meet reference words (``word_candidates``). A value then meets the forms that begin, after turning, with
+    words its own two longest neighbouring words may stand for, so that pairs grow with what matches; all other words are verified.
     """
-    keys = F.expr(
-        "concat(array(array_join(transform(words, w -> left(w, 1)), '')),"
-        " transform(sequence(0, size(words) - 1), j -> array_join(transform(words, (w, i) -> if(i = j, '_', left(w, 1))), '')))"
-    )
-    a = values.where(F.size("words").between(1, 6)).select("kind", "raw", "penalty", "words", F.explode(F.array_distinct(keys)).alias("key"))
-    b = forms.select("kind", "ref_id", F.col("words").alias("r"), F.explode(F.array_distinct(keys)).alias("key"))
-    met = a.join(spread(b), ["kind", "key"]).where("size(words) = size(r)")
-    cost = F.expr(
-        "transform(arrays_zip(words, r), x -> case "
-        " when x.words = x.r then 0D "
-        " when length(x.words) >= 2 and startswith(x.r, x.words) and (size(r) > 1 or length(x.words) >= 4) then 0.5D"
-        " when size(r) > 1 and length(x.words) between 2 and length(x.r) - 2 and left(x.words, 1) = left(x.r, 1) and x.r rlike concat('^', regexp_replace(x.words, '(.)', '$1.*')) then 0.75D"
-        " when length(x.r) >= 4 and levenshtein(x.words, x.r) <= if(length(x.r) < 6, 1, 2) then cast(levenshtein(x.words, x.r) as double)"
-        " when length(x.words) >= 4 and length(x.r) > length(x.words) and levenshtein(x.words, left(x.r, length(x.words))) <= if(length(x.words) < 7, 1, 2) then 1.5D"
-        " else 99D end)"
-    )
-    total = met.withColumn("c", cost).where("not exists(c, x -> x > 90)").withColumn("cost", F.expr("aggregate(c, 0D, (s, x) -> s + x)") + F.col("penalty"))
+    turned = F.expr("concat(slice(words, at, size(words)), slice(words, 1, at - 1))")
+    # Forms hold all turns of an entry's words, so that a value may be turned to have its longest pair in front.
+    at = F.expr("if(size(words) < 3, 1, array_max(transform(words, (x, i) -> named_struct('n', length(x) + length(words[(i + 1) % size(words)]), 'i', -i))).i * -1 + 1)")
+    v = values.where("size(words) > 0").withColumn("at", at).select("kind", "raw", "penalty", turned.alias("words"))
+    words = v.select(F.explode(F.slice("words", 1, 2)).alias("w"))
+    f = forms.select("kind", "ref_id", F.col("words").alias("r"))
+    known = cut_lineage(f.select(F.explode("r").alias("r")).distinct())
+    fits = word_candidates(words, known).where(_word_cost("w", "r", "true") + " is not null")
+    fits = cut_lineage(fits)
+    second = F.coalesce(F.get("words", F.lit(1)), F.lit(""))
+    v = v.withColumn("w1", F.get("words", F.lit(0))).withColumn("w2", second).withColumn("m", F.size("words"))
+    f = f.withColumn("r1", F.get("r", F.lit(0))).withColumn("r2", F.coalesce(F.get("r", F.lit(1)), F.lit(""))).withColumn("m", F.size("r"))
+    # The pairs of words in use, with what they may stand for.
+    one, two = fits.select(F.col("w").alias("w1"), F.col("r").alias("r1")), fits.select(F.col("w").alias("w2"), F.col("r").alias("r2"))
+    pairs = v.select("kind", "m", "w1", "w2").distinct().join(one, "w1")
+    pairs = pairs.where("m > 1").join(two, "w2").unionByName(pairs.where("m = 1").withColumn("r2", F.lit("")))
+    meets = pairs.join(broadcaster(f, SMALL_LIST)(f.select("kind", "m", "r1", "r2").distinct()), ["kind", "m", "r1", "r2"])
+    met = v.join(meets, ["kind", "m", "w1", "w2"]).join(broadcaster(f, SMALL_LIST)(f), ["kind", "m", "r1", "r2"])
+    cost = F.expr(f"transform(arrays_zip(words, r), x -> {_word_cost('x.words', 'x.r', 'size(r) > 1')})")
+    total = met.withColumn("c", cost).where("not exists(c, x -> x is null)").withColumn("cost", F.expr("aggregate(c, 0D, (s, x) -> s + x)") + F.col("penalty"))
     best = total.groupBy("kind", "raw", "ref_id").agg(F.min("cost").alias("cost"))
     ranked = best.withColumn("least", F.min("cost").over(Window.partitionBy("kind", "raw"))).where("cost = least")
     alone = ranked.groupBy("kind", "raw").agg(F.count("*").alias("n"), F.min("ref_id").alias("ref_id"), F.min("cost").alias("cost"))
@@ -144,10 +218,8 @@ def map_to_canonical(values: DataFrame, refs: DataFrame, kind: str = "kind", ref
 
     Null and blank values are left out. A value that fits several entries equally well gets the smallest id
     by edits, and none by shortened words. With an empty list all values get 0. Derived reference tables
-    are broadcast up to ``BROADCAST_ROWS`` rows, and beyond that joined by shuffle.
+    are broadcast where ``SMALL_LIST`` rows are counted or fewer, and else joined by shuffle.
     """
-    small = refs.limit(BROADCAST_ROWS // 50 + 1).count() <= BROADCAST_ROWS // 50  # a form has at most 4 segments and an entry few forms
-    spread = F.broadcast if small else (lambda d: d)
     distinct = values.select(F.col("kind"), F.col("raw")).where(F.trim("raw") != "").distinct()
     # Further forms, at a cost: with what looks like an addition, without what follows a comma, bracket or
     # dash, and without a first word that is nearly one of the additions.
@@ -157,23 +229,23 @@ def map_to_canonical(values: DataFrame, refs: DataFrame, kind: str = "kind", ref
     form = lambda t, cost: F.struct(t.alias("t"), F.lit(cost).alias("penalty"))
     forms = F.array_compact(F.array(
         form(whole, 0.0), form(before, 0.25), form(F.regexp_replace(before, rf"^(?:{_BEFORE}){{1,2}}", ""), 0.25),
+        F.when(before.rlike(_DEGREE), form(F.regexp_replace(whole, _DEGREE, ""), 0.5)),
         form(F.regexp_replace(whole, r"^(.{3,}?)(?:\s*[,(@]|\s[-–]\s).*$", "$1"), 1.0), F.when(slip, form(F.regexp_replace(before, r"^\S+\s+", ""), 1.5)),
     ))
     typed = distinct.select("kind", "raw", F.inline(forms)).withColumn("words", _words(F.col("t"))).withColumn("s", F.array_join("words", ""))
     typed = typed.where("length(s) > 1").groupBy("kind", "raw", "s").agg(F.min(F.struct("penalty", "words")).alias("m")).select("kind", "raw", "s", "m.penalty", "m.words")
     typed = cut_lineage(typed)  # distinct values in their forms; four joins start here
-    ref = reference_forms(refs, kind, ref_id, canonical)
+    ref = cut_lineage(reference_forms(refs, kind, ref_id, canonical))
+    spread = broadcaster(ref, SMALL_LIST)
 
-    exact = _best(typed.join(spread(ref.select("kind", "s", "ref_id").distinct()), ["kind", "s"]).select("kind", "raw", "ref_id", F.col("penalty").alias("cost")))
-    rest = typed.join(exact.select("kind", "raw"), ["kind", "raw"], "left_anti")
+    exact = cut_lineage(_best(typed.join(spread(ref.select("kind", "s", "ref_id").distinct()), ["kind", "s"]).select("kind", "raw", "ref_id", F.col("penalty").alias("cost"))))
+    rest = cut_lineage(typed.join(exact.select("kind", "raw"), ["kind", "raw"], "left_anti"))
     # A plain string may come from many values; it goes through the join once.
-    strings = rest.select("kind", "s").distinct().withColumn("vid", F.col("s"))
-    met = _substrings(strings).join(spread(_segments(ref).withColumnRenamed("s", "r")), ["kind", "n", "i", "seg"]).select("kind", "s", "r", "k", "ref_id").distinct()
-    letters = "levenshtein(array_join(array_sort(split(s, '')), ''), array_join(array_sort(split(r, '')), ''))"
-    near = met.withColumn("d", F.expr("levenshtein(s, r, 4)")).where(f"d >= 0 and d <= k and (d < k or {letters} < k)").groupBy("kind", "s", "ref_id").agg(F.min("d").alias("d"))
-    edits = _best(rest.join(near, ["kind", "s"]).select("kind", "raw", "ref_id", (F.col("d") + F.col("penalty")).alias("cost")))
-    short = _shortened(rest, ref, spread)
-    close = _best(edits.unionByName(short))
+    met = edit_candidates(rest.select("kind", "s").distinct(), ref)
+    letters = f"levenshtein({_LETTERS.format('s')}, {_LETTERS.format('r')})"
+    near = met.withColumn("d", F.expr("levenshtein(s, r, 4)")).where(f"d >= 0 and (d <= k or d <= k + 1 and {letters} <= k)").groupBy("kind", "s", "ref_id").agg(F.min("d").alias("d"))
+    edits = rest.join(near, ["kind", "s"]).select("kind", "raw", "ref_id", (F.col("d") + F.col("penalty")).alias("cost"))
+    close = _best(_best(edits).unionByName(_shortened(rest, ref)))
 
     mapped = exact.select("kind", "raw", "ref_id").unionByName(close.select("kind", "raw", "ref_id"))
     none = distinct.join(mapped, ["kind", "raw"], "left_anti").withColumn("ref_id", F.lit(0).cast(mapped.schema["ref_id"].dataType))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from secrets import token_hex
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,11 +12,12 @@ from vitaeflow.llm.canonical import map_to_canonical
 from vitaeflow.llm.consensus import consensus
 from vitaeflow.llm.leakage import find_leaks
 from vitaeflow.llm.near_duplicates import duplicate_pairs, near_duplicates
-from vitaeflow.llm.personal_data import detect, learn_given_names, pseudonymise
+from vitaeflow.llm.personal_data import detect, learn_given_names, pseudonymise, with_surrogates
 from vitaeflow.llm.spam_pages import score_pages
 from vitaeflow.operators.dedup import one_per_key
+from vitaeflow.operators.joins import join_lookup
 from vitaeflow.plans.packed_skills import split_packed_column
-from vitaeflow.sources.scratch import cut_lineage
+from vitaeflow.sources.scratch import broadcaster, cut_lineage
 from vitaeflow.sources.tables import latest_by_key, read_table
 
 
@@ -32,31 +35,35 @@ def free_values(spark: SparkSession, folder: str) -> DataFrame:
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """``kind, row_key, pos, ref_id`` of every value that isn't an entry of its kind as it stands; 0: none fits."""
     refs = read_table(spark, folder, "reference_values")
-    names = F.broadcast(refs.select("kind", F.col("canonical").alias("raw")).distinct())  # 218 rows, fixed
-    values = cut_lineage(free_values(spark, folder).join(names, ["kind", "raw"], "left_anti"))
-    return values.join(map_to_canonical(values, refs), ["kind", "raw"]).select("kind", "row_key", "pos", "ref_id")
+    names = refs.select("kind", F.col("canonical").alias("raw")).distinct()
+    values = cut_lineage(free_values(spark, folder).join(broadcaster(names)(names), ["kind", "raw"], "left_anti"))
+    counts = values.groupBy("kind", "raw").agg(F.count("*").alias("n"))
+    entries = cut_lineage(map_to_canonical(values, refs).join(counts, ["kind", "raw"]))
+    return join_lookup(values, entries, ["kind", "raw"], "n").select("kind", "row_key", "pos", "ref_id")
 
 
-#: The key of the surrogates; a deployment passes its own.
-SECRET = "change this key"
+def _surrogate_key(spark: SparkSession) -> str:
+    """The session's ``spark.vitaeflow.surrogate.key``. Where it names none, a fresh key that holds for this run only and is kept nowhere."""
+    return spark.conf.get("spark.vitaeflow.surrogate.key", None) or token_hex(32)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """``field_name, row_key, pii_type, pii_value``, distinct: personal data in requests and in label values."""
+    """``field_name, row_key, pii_type, pii_value``, distinct: personal data in requests and in label values, as they are given surrogates."""
     texts, labels = read_table(spark, folder, "anonymize_request"), read_table(spark, folder, "pii_labels_template")
     given = learn_given_names(texts, "resume_text")
     parts = [
-        detect(df, key, column, given, whole).select(F.lit(column).alias("field_name"), "row_key", "pii_type", "pii_value")
+        detect(df, key, column, given, whole).withColumn("field_name", F.lit(column))
         for df, key, column, whole in ((texts, "request_id", "resume_text", False), (labels, "label_id", "pii_value", True))
     ]
-    return parts[0].unionByName(parts[1]).distinct()
+    found = with_surrogates(cut_lineage(parts[0].unionByName(parts[1])), _surrogate_key(spark))
+    return found.where("surrogate is not null").select("field_name", "row_key", "pii_type", "pii_value").distinct()
 
 
 def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """``request_id, redacted, pseudonymised, n_found`` of every request, each key once."""
     texts = read_table(spark, folder, "anonymize_request").select("request_id", "resume_text")
     given = learn_given_names(texts, "resume_text")
-    return pseudonymise(one_per_key(texts, "request_id"), "request_id", "resume_text", SECRET, given)
+    return pseudonymise(one_per_key(texts, "request_id"), "request_id", "resume_text", _surrogate_key(spark), given)
 
 
 RATERS = ["rater1", "rater2", "rater3", "rater4"]
