@@ -140,8 +140,8 @@ def test_unrelated_names_hardly_meet(spark):
     refs = spark.createDataFrame([(i, "t", name()) for i in range(1000)], "ref_id int, kind string, canonical string")
     typed = spark.createDataFrame([("t", name()) for _ in range(2000)], "kind string, s string").distinct()
     forms = canonical.reference_forms(refs, "kind", "ref_id", "canonical")
-    assert canonical.edit_candidates(typed, forms).count() < 20_000
-    assert canonical.word_candidates(typed.select(typed.s.alias("w")), forms.select(forms.s.alias("r")).distinct()).count() < 20_000
+    assert canonical.edit_candidates(typed, forms, lambda d: d).count() < 20_000
+    assert canonical.word_candidates(typed.select(typed.s.alias("w")), forms.select(forms.s.alias("r")).distinct(), lambda d: d).count() < 20_000
 
 
 def test_many_shortened_words(spark):
@@ -350,6 +350,25 @@ def test_spam_pages(spark):
     assert all((out[i] > 0.5) == spam for i, (_, spam) in enumerate(pages)) and out[500] == out[501] == out[502] == 0 and out[503] > 0.5
 
 
+RUSSIAN = "Я работаю в этой компании уже восемь лет и отвечаю за развитие команды. Мы вместе построили новую систему учёта, которая помогла сотрудникам быстрее находить документы. Сначала было трудно, потому что данные хранились в разных местах, но постепенно всё наладилось."
+POLISH = "Od ośmiu lat pracuję w tej firmie i odpowiadam za rozwój zespołu. Razem zbudowaliśmy nowy system ewidencji, który pomógł pracownikom szybciej znajdować dokumenty. Na początku było trudno, ponieważ dane leżały w różnych miejscach, ale z czasem wszystko się ułożyło."
+
+
+def test_prose_of_other_languages(spark):
+    rng = random.Random(4)
+    rows = [(i, page(i, rng)[0], "h") for i in range(200)] + [(900, RUSSIAN, "h"), (901, POLISH, "h"), (902, "".join(f'<a href="/j{i}">apply</a> ' for i in range(40)), "h")]
+    out = {r["doc"]: r["smoothed"] for r in spam_pages.score_pages(spark.createDataFrame(rows, "doc int, t string, h string"), "doc", "t", "h").collect()}
+    assert out[900] < 0.5 and out[901] < 0.5 and out[902] > 0.5
+
+
+def test_function_words_are_learned(spark):
+    words = RUSSIAN.replace(".", "").replace(",", "").split()
+    rng = random.Random(5)
+    pages = [(" ".join(rng.choice(["и", "в", "за", "но"]) + " " + rng.choice(words) + " слово" + "".join(rng.choices("абвгдежзик", k=4)) + ("." if j % 7 == 0 else "") for j in range(20)),) for i in range(40)]
+    function, common = spam_pages.learn_words(spark.createDataFrame(pages + [(PROSE.format(n=1, w="a", w2="b"),), (PROSE.format(n=2, w="c", w2="d"),)], "t string"), "t")
+    assert {"и", "в", "за", "но"} <= function and "worked" in common and "и" not in common
+
+
 def test_spam_pages_without_labels(spark):
     df = spark.createDataFrame([(1, PROSE.format(n=1, w="a", w2="b"), None)], "doc int, t string, h string")
     assert spam_pages.score_pages(df, "doc", "t", "h").first()["smoothed"] == 0

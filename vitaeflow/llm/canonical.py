@@ -9,6 +9,7 @@ then has no entry is reported by an anti-join.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,8 @@ from pyspark.sql.window import Window
 from vitaeflow.operators.joins import union_all
 from vitaeflow.sources.scratch import broadcaster, cut_lineage
 
-#: Rows of a table derived from the reference list up to which it is broadcast; a row there has few short keys.
-SMALL_LIST = 20_000
+#: Forms of reference entries up to which what is derived from them is broadcast: of a form about a hundred short keys.
+SMALL_LIST = 5_000
 
 # Letters of other scripts that look like Latin ones.
 _ALIKE = dict(zip("аеорсхуіјѕвкмнтԁɡοαρν", "aeopcxyijsbkmhtdgoapv"))
@@ -120,12 +121,11 @@ def _substrings(values: DataFrame, edits: str, reach: int, *kept: str, cuts: int
 _LETTERS = "array_join(array_sort(split({0}, '')), '')"
 
 
-def edit_candidates(strings: DataFrame, forms: DataFrame) -> DataFrame:
+def edit_candidates(strings: DataFrame, forms: DataFrame, spread: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``kind, s, ref_id, r, k``, distinct: strings and reference strings that share a segment at its place, or all
     their letters."""
     edits = "case when n < 6 then 1 when n < 12 then 2 else 3 end"
     refs = forms.select("kind", "ref_id", "s", "k").distinct()
-    spread = broadcaster(refs, SMALL_LIST)
     by_place = _substrings(strings, edits, 3, "kind", "s", cuts=2).join(spread(_segments(refs.withColumn("r", F.col("s")), "kind", "ref_id", "r", "k", cuts=2)), ["kind", "n", "cut", "i", "seg"])
     letters = F.expr(_LETTERS.format("s"))
     by_letters = strings.withColumn("seg", letters).join(spread(refs.select("kind", "ref_id", F.col("s").alias("r"), "k", letters.alias("seg"))), ["kind", "seg"])
@@ -145,11 +145,11 @@ def _word_cost(w: str, r: str, many: str) -> str:
     )
 
 
-def word_candidates(typed: DataFrame, known: DataFrame) -> DataFrame:
+def word_candidates(typed: DataFrame, known: DataFrame, spread: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``w, r``, distinct: typed and reference words that may stand for each other, by equality joins.
 
-    Beginnings meet on their first six letters, shortenings on their first letter, two that follow it in order and the last
-    (on all of it, where it has no more than three), words with edits and beginnings with edits on a segment at its place.
+    Beginnings meet on their first six letters, shortenings on their first letter and two that follow it in order
+    (on all of it, where it has two), words with edits and beginnings with edits on a segment at its place.
     """
     w, r = typed.select("w").distinct(), known.select("r").distinct()
     cut = lambda d, c: d.withColumn("s", F.col(c))
@@ -157,11 +157,10 @@ def word_candidates(typed: DataFrame, known: DataFrame) -> DataFrame:
     # Reference words as letters: where each distinct letter after the first stands first and last.
     spots = F.expr("transform(filter(array_distinct(split(substring(r, 2), '')), c -> c <> ''), c -> named_struct('c', c, 'first', locate(c, r, 2), 'last', length(r) + 1 - locate(c, reverse(r))))")
     pairs = F.expr("flatten(transform(spots, a -> transform(filter(spots, b -> b.last > a.first), b -> concat(left(r, 1), a.c, b.c))))")
-    triples = F.expr("flatten(flatten(transform(spots, a -> transform(filter(spots, b -> b.last > a.first), b -> transform(filter(spots, e -> e.last > b.first), e -> concat(left(r, 1), a.c, b.c, e.c))))))")
     twos = F.expr("transform(spots, a -> concat(left(r, 1), a.c))")
     starts = F.expr("transform(sequence(4, length(r) - 1), n -> left(r, n))")
     left = [
-        w.select("w", F.concat(F.lit("p"), F.left("w", F.lit(6))).alias("key")), w.where("length(w) > 1").select("w", F.concat(F.lit("s"), F.left("w", F.lit(3)), F.expr("if(length(w) > 3, right(w, 1), '')")).alias("key")),
+        w.select("w", F.concat(F.lit("p"), F.left("w", F.lit(6))).alias("key")), w.where("length(w) > 1").select("w", F.concat(F.lit("s"), F.left("w", F.lit(3))).alias("key")),
         _substrings(cut(w, "w"), edits, 2, "w").select("w", F.concat_ws(":", F.lit("e"), "n", "i", "seg").alias("key")),
         _substrings(cut(w.where("length(w) > 3"), "w"), start_edits, 0, "w").select("w", F.concat_ws(":", F.lit("b"), "n", "i", "seg").alias("key")),
     ]
@@ -169,11 +168,11 @@ def word_candidates(typed: DataFrame, known: DataFrame) -> DataFrame:
     whole = cut(r.where("length(r) > 3"), "r").withColumn("k", F.when(F.length("s") < 6, 1).otherwise(2))
     right = [
         r.select("r", F.explode(F.expr("transform(sequence(1, least(6, length(r))), n -> concat('p', left(r, n)))")).alias("key")),
-        r.where("length(r) > 3").withColumn("spots", spots).select("r", F.explode(F.transform(F.concat(triples, pairs, twos), lambda x: F.concat(F.lit("s"), x))).alias("key")),
+        r.where("length(r) > 3").withColumn("spots", spots).select("r", F.explode(F.transform(F.concat(pairs, twos), lambda x: F.concat(F.lit("s"), x))).alias("key")),
         _segments(whole, "r").select("r", F.concat_ws(":", F.lit("e"), "n", "i", "seg").alias("key")), _segments(begun, "r").select("r", F.concat_ws(":", F.lit("b"), "n", "i", "seg").alias("key")),
     ]
     keys = union_all(right)
-    return union_all(left).join(broadcaster(known, SMALL_LIST)(keys), "key").select("w", "r").distinct()
+    return union_all(left).join(spread(keys), "key").select("w", "r").distinct()
 
 
 def _best(found: DataFrame) -> DataFrame:
@@ -181,7 +180,7 @@ def _best(found: DataFrame) -> DataFrame:
     return found.groupBy("kind", "raw").agg(F.min(F.struct("cost", "ref_id")).alias("m")).select("kind", "raw", F.col("m.ref_id").alias("ref_id"), F.col("m.cost").alias("cost"))
 
 
-def _shortened(values: DataFrame, forms: DataFrame) -> DataFrame:
+def _shortened(values: DataFrame, forms: DataFrame, spread: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Values whose words are, one by one, a form's words, some shortened, some with few edits.
 
     Typed words first meet reference words (``word_candidates``). A value then meets the forms that begin, after turning, with
@@ -193,8 +192,8 @@ def _shortened(values: DataFrame, forms: DataFrame) -> DataFrame:
     v = values.where("size(words) > 0").withColumn("at", at).select("kind", "raw", "penalty", turned.alias("words"))
     words = v.select(F.explode(F.slice("words", 1, 2)).alias("w"))
     f = forms.select("kind", "ref_id", F.col("words").alias("r"))
-    known = cut_lineage(f.select(F.explode("r").alias("r")).distinct())
-    fits = word_candidates(words, known).where(_word_cost("w", "r", "true") + " is not null")
+    known = f.select(F.explode("r").alias("r")).distinct()
+    fits = word_candidates(words, known, spread).where(_word_cost("w", "r", "true") + " is not null")
     fits = cut_lineage(fits)
     second = F.coalesce(F.get("words", F.lit(1)), F.lit(""))
     v = v.withColumn("w1", F.get("words", F.lit(0))).withColumn("w2", second).withColumn("m", F.size("words"))
@@ -203,8 +202,8 @@ def _shortened(values: DataFrame, forms: DataFrame) -> DataFrame:
     one, two = fits.select(F.col("w").alias("w1"), F.col("r").alias("r1")), fits.select(F.col("w").alias("w2"), F.col("r").alias("r2"))
     pairs = v.select("kind", "m", "w1", "w2").distinct().join(one, "w1")
     pairs = pairs.where("m > 1").join(two, "w2").unionByName(pairs.where("m = 1").withColumn("r2", F.lit("")))
-    meets = pairs.join(broadcaster(f, SMALL_LIST)(f.select("kind", "m", "r1", "r2").distinct()), ["kind", "m", "r1", "r2"])
-    met = v.join(meets, ["kind", "m", "w1", "w2"]).join(broadcaster(f, SMALL_LIST)(f), ["kind", "m", "r1", "r2"])
+    meets = pairs.join(spread(f.select("kind", "m", "r1", "r2").distinct()), ["kind", "m", "r1", "r2"])
+    met = v.join(meets, ["kind", "m", "w1", "w2"]).join(spread(f), ["kind", "m", "r1", "r2"])
     cost = F.expr(f"transform(arrays_zip(words, r), x -> {_word_cost('x.words', 'x.r', 'size(r) > 1')})")
     total = met.withColumn("c", cost).where("not exists(c, x -> x is null)").withColumn("cost", F.expr("aggregate(c, 0D, (s, x) -> s + x)") + F.col("penalty"))
     best = total.groupBy("kind", "raw", "ref_id").agg(F.min("cost").alias("cost"))
@@ -241,11 +240,11 @@ def map_to_canonical(values: DataFrame, refs: DataFrame, kind: str = "kind", ref
     exact = cut_lineage(_best(typed.join(spread(ref.select("kind", "s", "ref_id").distinct()), ["kind", "s"]).select("kind", "raw", "ref_id", F.col("penalty").alias("cost"))))
     rest = cut_lineage(typed.join(exact.select("kind", "raw"), ["kind", "raw"], "left_anti"))
     # A plain string may come from many values; it goes through the join once.
-    met = edit_candidates(rest.select("kind", "s").distinct(), ref)
+    met = edit_candidates(rest.select("kind", "s").distinct(), ref, spread)
     letters = f"levenshtein({_LETTERS.format('s')}, {_LETTERS.format('r')})"
     near = met.withColumn("d", F.expr("levenshtein(s, r, 4)")).where(f"d >= 0 and (d <= k or d <= k + 1 and {letters} <= k)").groupBy("kind", "s", "ref_id").agg(F.min("d").alias("d"))
     edits = rest.join(near, ["kind", "s"]).select("kind", "raw", "ref_id", (F.col("d") + F.col("penalty")).alias("cost"))
-    close = _best(_best(edits).unionByName(_shortened(rest, ref)))
+    close = cut_lineage(_best(_best(edits).unionByName(_shortened(rest, ref, spread))))
 
     mapped = exact.select("kind", "raw", "ref_id").unionByName(close.select("kind", "raw", "ref_id"))
     none = distinct.join(mapped, ["kind", "raw"], "left_anti").withColumn("ref_id", F.lit(0).cast(mapped.schema["ref_id"].dataType))

@@ -16,14 +16,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitaeflow.operators.joins import pairs_in_blocks
 from vitaeflow.sources.scratch import cut_lineage
 
 LEAST_WORDS, SIMILARITY = 20, 0.75
-#: Bands and rows of the signature: a pair at 0.8 meets in some band with probability 0.99.
-BANDS, ROWS = 50, 10
+#: Bands and rows of the signature: a pair at 0.8 meets in some band with probability 0.997, one at 0.75 with 0.966.
+BANDS, ROWS = 32, 8
 #: Bits of the sketch that sorts out most candidates, and the smallest share of equal bits that passes:
 #: for a pair at SIMILARITY more than four standard deviations below what is expected.
 SKETCH_BITS, SKETCH_SHARE = 256, 0.775
+#: Texts whose signatures are computed together; bounds memory only.
+TEXTS_AT_ONCE = 1000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\W_]+")
 
@@ -43,36 +46,46 @@ def _scramble(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def one_permutation(e: np.ndarray, bins: int, seed: int = 1) -> np.ndarray:
-    """The smallest hash in each bin of one permutation; optimal densification fills an empty bin from a bin
-    drawn by a hash of (bin, attempt), the same for all texts, until a filled one is met."""
+def one_permutation(e: np.ndarray, row: np.ndarray, n: int, bins: int, seed: int = 1) -> np.ndarray:
+    """For each of ``n`` texts the smallest hash in each bin of one permutation; ``e`` holds all their elements, ``row`` their texts.
+
+    Optimal densification fills an empty bin from a bin drawn by a hash of (bin, attempt), the same for all texts, until a
+    filled one is met. All texts of a batch are handled at once in flat arrays.
+    """
     h = _scramble(e, seed)
     at = (h >> np.uint64(32)) % np.uint64(bins)
-    out = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(out, at.astype(np.int64), h & np.uint64(0xFFFFFFFF) | (at << np.uint64(32)))
-    filled = np.zeros(bins, bool)
-    filled[at.astype(np.int64)] = True
-    empty, attempt = np.flatnonzero(~filled), 1
-    while len(empty) and filled.any():
-        source = (_scramble(empty.astype(np.uint64) + np.uint64(attempt << 32), seed + 7) % np.uint64(bins)).astype(np.int64)
+    place = row * bins + at.astype(np.int64)
+    value = h & np.uint64(0xFFFFFFFF) | (at << np.uint64(32))
+    order = np.lexsort((value, place))
+    place, value = place[order], value[order]
+    first = np.concatenate(([True], place[1:] != place[:-1])) if len(place) else np.zeros(0, bool)
+    out = np.full(n * bins, np.iinfo(np.uint64).max, np.uint64)
+    out[place[first]] = value[first]
+    filled = np.zeros(n * bins, bool)
+    filled[place[first]] = True
+    some = filled.reshape(n, bins).any(axis=1)
+    empty, attempt = np.flatnonzero(~filled & np.repeat(some, bins)), 1
+    while len(empty):
+        own, base = (empty % bins).astype(np.uint64), empty // bins * bins
+        source = base + (_scramble(own + np.uint64(attempt << 32), seed + 7) % np.uint64(bins)).astype(np.int64)
         ok = filled[source]
         out[empty[ok]] = out[source[ok]]
         empty, attempt = empty[~ok], attempt + 1
-    return out
+    return out.reshape(n, bins)
 
 
-def sketch(e: np.ndarray) -> np.ndarray:
-    """``SKETCH_BITS`` one-bit minima in signed 64-bit words."""
-    bits = (_scramble(one_permutation(e, SKETCH_BITS, 3), 11) >> np.uint64(40)) & np.uint64(1)
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def sketches(e: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """``SKETCH_BITS`` one-bit minima of each text in signed 64-bit words."""
+    bits = (_scramble(one_permutation(e, row, n, SKETCH_BITS, 3), 11) >> np.uint64(40)) & np.uint64(1)
+    return np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
 
 
-def bands(e: np.ndarray) -> np.ndarray:
-    """One signed 64-bit hash of each band's rows."""
-    s = one_permutation(e, BANDS * ROWS).reshape(BANDS, ROWS)
-    key = _scramble(np.arange(BANDS, dtype=np.uint64), 5)
+def bands(e: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """One signed 64-bit hash of each band's rows for each text."""
+    s = one_permutation(e, row, n, BANDS * ROWS).reshape(n, BANDS, ROWS)
+    key = np.repeat(_scramble(np.arange(BANDS, dtype=np.uint64), 5)[None, :], n, axis=0)
     for r in range(ROWS):
-        key = _scramble(key ^ s[:, r], 13 + r)
+        key = _scramble(key ^ s[:, :, r], 13 + r)
     return key.view(np.int64)
 
 
@@ -87,12 +100,17 @@ def _long_texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = list(_long_texts(batch))
-        sk = np.array([sketch(e) for _, e in rows], np.int64).reshape(len(rows), len(_SKETCH))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([i for i, _ in rows], pa.int64()), pa.array([xxhash.xxh3_128_hexdigest(e.tobytes()) for _, e in rows], pa.string()), *(pa.array(sk[:, c]) for c in range(len(_SKETCH))),
-             pa.array([bands(e) for _, e in rows], pa.list_(pa.int64()))], ["id", "class", *_SKETCH, "bands"],
-        )
+        for part in (batch.slice(i, TEXTS_AT_ONCE) for i in range(0, batch.num_rows, TEXTS_AT_ONCE)):
+            rows = list(_long_texts(part))
+            n = len(rows)
+            e = np.concatenate([x for _, x in rows]) if n else np.empty(0, np.uint64)
+            row = np.repeat(np.arange(n), [len(x) for _, x in rows])
+            sk, keys = sketches(e, row, n), bands(e, row, n)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i for i, _ in rows], pa.int64()), pa.array([xxhash.xxh3_128_hexdigest(x.tobytes()) for _, x in rows], pa.string()), *(pa.array(np.ascontiguousarray(sk[:, c])) for c in range(len(_SKETCH))), flat],
+                ["id", "class", *_SKETCH, "bands"],
+            )
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,16 +167,17 @@ def near_duplicates(df: DataFrame, key: str, text: str) -> tuple[DataFrame, Data
     words = cut_lineage(words.groupBy("rep").agg(F.first("e").alias("e")))
     links = cut_lineage(_exact(likely, words))
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    around = both.select(F.col("a").alias("mid"), F.col("b").alias("x")).join(both.select(F.col("a").alias("mid"), F.col("b").alias("y")), "mid").where("x < y")
+    # Partners of a linked text, in blocks, so that a text with very many links fills no task.
+    around = pairs_in_blocks(both, "a", "b")
     more = around.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
     links = links.unionByName(_exact(more, words))
     return members.select(F.col("id").cast(kind).alias("id"), F.col("rep").cast(kind).alias("rep")), links
 
 
 def duplicate_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """All pairs ``a < b`` of keys: of linked classes, and within a class. Its size is that of the answer."""
+    """All pairs ``a < b`` of keys: of linked classes, and within a class, in blocks. Its size is that of the answer."""
     m = members.select(F.col("id"), F.col("rep"))
     left, right = m.select(F.col("rep").alias("ra"), F.col("id").alias("ia")), m.select(F.col("rep").alias("rb"), F.col("id").alias("ib"))
     across = links.select(F.col("a").alias("ra"), F.col("b").alias("rb")).join(left, "ra").join(right, "rb").select(_pairs(F.col("ia"), F.col("ib")).alias("p"))
-    within = left.join(right, F.col("ra") == F.col("rb")).where("ia < ib").select(_pairs(F.col("ia"), F.col("ib")).alias("p"))
-    return across.unionByName(within).select("p.*")
+    within = pairs_in_blocks(m, "rep", "id").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return across.select("p.*").unionByName(within)
