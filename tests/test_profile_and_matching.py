@@ -22,14 +22,14 @@ def test_email_and_links(spark):
     assert (link.linkedin, link.github, link.other) == ("https://linkedin.com/in/jo", "github.com/jo", "www.jo.dev")
 
 
-@pytest.mark.parametrize("line, level", [("PhD in Law", "PhD"), ("M.Sc. in Physics", "Master's"), ("MS in Excel", "Master's"), ("MS Office", None), ("BSc in Law, X", "Bachelor's"), ("BS Computer Science", "Bachelor's"), ("Associate degree", "Associate"), ("High School Diploma", "High School"), ("plumbing", None)])
+@pytest.mark.parametrize("line, level", [("PhD in Law", "PhD"), ("M.Sc. in Physics", "Master's"), ("MS in Excel", "Master's"), ("MS Office", None), ("BSc in Law, X", "Bachelor's"), ("BS Computer Science", "Bachelor's"), ("Associate degree", "Associate"), ("High School Diploma", "High School"), ("plumbing", None), ("Intermediate (Pre-Engineering)", "High School"), ("FSc Pre-Medical", "High School"), ("MS (Data Science)", "Master's"), ("B.S - Physics", "Bachelor's"), ("M. Sc. Physics", "Master's"), ("Ph. D.", "PhD"), ("to be able to", None), ("BS/MS", "Master's"), ("A-Levels", "High School"), ("MS Project in use", None)])
 def test_degrees(spark, line, level):
     if line == "MS in Excel":
         level = None  # a tool, not a degree
     assert one(spark, P.degree_of, line) == level
 
 
-@pytest.mark.parametrize("text, years", [("5+ years of experience", 5), ("0-2 years", 0), ("over 3 years; experience: 7 yrs", 7), ("**Required Experience:** 3 years", 3), ("none", None), (None, None)])
+@pytest.mark.parametrize("text, years", [("5+ years of experience", 5), ("0-2 years", 0), ("over 3 years; experience: 7 yrs", 7), ("**Required Experience:** 3 years", 3), ("3-5 yrs", 3), ("4+ years of software engineering experience", 4), ("6 years in Python", 6), ("more than 8 yrs", 8), ("for 9 years. Experience", None), ("none", None), (None, None)])
 def test_years(spark, text, years):
     assert one(spark, P.experience_years, text) == years
 
@@ -50,11 +50,16 @@ def test_redaction_is_idempotent(spark):
     once = one(spark, P.redact, text)
     assert "@" not in once and "[PHONE]" in once and "[YEAR]" in once and "2010" in once and "They told" in once and "their team" in once
     assert one(spark, P.redact, once) == once and one(spark, P.redact, None) is None
+    assert one(spark, P.redact, "She is an engineer. He has skills and he builds APIs himself.") == "They are an engineer. They have skills and they build APIs themselves."
+    assert one(spark, P.redact, "She studies; he also was promoted. He reaches goals.") == "They study; they also were promoted. They reach goals." and one(spark, P.redact, "they is fine") == "they is fine"
 
 
 def test_evidence(spark):
     level = lambda line, listed=False: one(spark, lambda c: P.evidence_level(c, F.lit(listed)), line)
     assert level("Reduced API latency by 40% using Redis.") == "high_depth" and level("Built APIs") == "demonstrated" and level("saved 40%") == "demonstrated" and level("Redis") == "listed" and level("Built 40%", True) == "listed"
+    assert level("Successfully migrated data") == "demonstrated" and level("5 years of Java in 2019") == "listed" and level("Shipped $3 million") == "high_depth" and level("planning 12 releases") == "demonstrated"
+    assert one(spark, P.metrics_in, "saved $3 million and 40% in 2019, over 5 years, 3x (1,200 users)") == ["$3 million", "40%", "3x", "1,200"]
+    assert [one(spark, P.verb_of, w) for w in ("shipped", "analyses", "written", "deployed", "queried", "optimizing", "singing")] == ["ship", "analyse", "write", "deploy", "query", "optimize", None]
 
 
 @pytest.mark.parametrize("held, req, pref, want", [(["a", "b"], ["a", "b"], ["a"], 1.0), (["a"], ["a", "b", "c"], [], 0.3333), (["x"], ["a"], ["x"], 0.2), ([], ["a"], ["b"], 0.0), (["a"], [], [], 0.0), (["b"], [], ["b", "c"], 0.5)])

@@ -10,7 +10,7 @@ def one(spark, expr, *values):
     return df.select(expr(*[df[f"c{i}"] for i in range(len(values))]).alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize("text, want", [("a  b\t c \r\n=====\r\n\r\n\r\n\r\n“x”…", 'a b c\n\n"x"...'), ("  \n ", None), ("", None), (None, None), ("\x00a\x7f", "a"), ("- item\n* * *", "- item\n* * *")])
+@pytest.mark.parametrize("text, want", [("a  b\t c \r\n=====\r\n\r\n\r\n\r\n“x”…", 'a b c\n\n"x"...'), ("  \n ", None), ("", None), (None, None), ("\x00a\x7f", "a"), ("- item\n* * *", "- item\n* * *")])
 def test_light_clean(spark, text, want):
     assert one(spark, X.light_clean, text) == want
 
@@ -42,9 +42,9 @@ def test_sentence_chunks(spark, text):
 
 
 def test_sections(spark):
-    df = spark.createDataFrame([(1, "Jo\nEXPERIENCE:\nwork\n\nEducation\nBSc"), (2, None), (3, "")], "id int, t string")
+    df = spark.createDataFrame([(1, "Jo\nEXPERIENCE:\nbuilt\n\nEducation\nBSc"), (2, None), (3, "")], "id int, t string")
     rows = [(r["line"], r["section"], r["is_heading"]) for r in X.with_sections(X.lines_of(df, "id", "t"), "id").orderBy("id", "line_no").collect()]
-    assert rows == [("Jo", "head", False), ("EXPERIENCE:", "experience", True), ("work", "experience", False), ("Education", "education", True), ("BSc", "education", False)]
+    assert rows == [("Jo", "head", False), ("EXPERIENCE:", "experience", True), ("built", "experience", False), ("Education", "education", True), ("BSc", "education", False)]
 
 
 @pytest.mark.parametrize("file, name", [("haruto_zellthorn_000000190.pdf", "Haruto Zellthorn"), ("JohnSmith-Resume (1).docx", "John Smith"), ("/in/CV_ana maria.txt", "Ana Maria"), ("000123.pdf", None), ("resume.pdf", None)])
@@ -89,5 +89,7 @@ def test_confidence_and_normalisation(spark):
     assert one(spark, S.mention_confidence, "migrated away from Java in favor of Go", "Java") == "low"
     assert one(spark, S.mention_confidence, "migrated away from Java in favor of Go", "Go") == "high"
     assert one(spark, S.mention_confidence, "Built services in C++ for years", "C++") == "high"
+    assert one(spark, S.mention_confidence, "Java is a tool I want to learn", "Java") == "low" and one(spark, S.mention_confidence, "Java", "Go") is None
+    assert one(spark, S.mention_confidence, "Java for a very long time in many teams, familiar with Go but", "Java") == "high"
     m = F.create_map(*[F.lit(x) for kv in {"scikit learn": "scikit-learn", "k8s": "kubernetes"}.items() for x in kv])
     assert one(spark, lambda c: S.normalize_skill(c, m), " Scikit-Learn ") == "scikit-learn" and one(spark, lambda c: S.normalize_skill(c, m), "Foo!") == "foo!"

@@ -11,11 +11,11 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 # Typographic characters and their plain forms.
-PLAIN = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "•": "-", "●": "-", "▪": "-", " ": " ", "…": "..."}
+PLAIN = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "•": "-", "‣": "-", "■": "-", "●": "-", "…": "..."}
 # Section headings of a resume.
 SECTIONS = {
     "education": ("education", "academic background", "academics", "qualifications", "academic qualifications", "educational background", "education and certifications", "education & certifications", "education and training"),
-    "experience": ("work experience", "professional experience", "experience", "employment history", "work history", "career history", "employment", "projects", "freelance experience", "freelance work"),
+    "experience": ("work experience", "professional experience", "experience", "employment history", "work history", "career history", "employment", "projects", "freelance experience", "freelance work", "work", "job history"),
     "other": ("skills", "technical skills", "certifications", "licenses", "publications", "awards", "languages", "interests", "references", "summary", "profile"),
 }
 
@@ -102,7 +102,7 @@ def title_case(text: Column) -> Column:
 def name_from_file(filename: Column) -> Column:
     """A person's name out of a file name: no extension, copies, resume words or numbers; words in title case."""
     s = F.regexp_replace(F.regexp_replace(filename, r"^.*[/\\]", ""), r"\.[A-Za-z0-9]{1,5}$", "")
-    s = F.regexp_replace(s, r"\s*\(\d+\)", "")
+    s = F.regexp_replace(s, r"\s*(?:\(\d+\)|\[\d+\]|\{\d+\})", "")
     s = F.regexp_replace(s, r"([a-z])([A-Z])", "$1 $2")
     s = F.regexp_replace(s, r"[_\-.+]+", " ")
     words = F.filter(F.split(s, r"\s+"), lambda w: (w != "") & ~w.rlike(r"^\d+$") & ~F.lower(w).isin("resume", "cv", "curriculum", "vitae", "final", "updated", "new", "copy", "request"))

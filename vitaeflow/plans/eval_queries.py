@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from vitaeflow.functions.phrases import spaced_sql
 from vitaeflow.operators import metrics as M
 from vitaeflow.operators import rewrite as R
 from vitaeflow.operators import text as X
@@ -145,8 +148,8 @@ e AS (SELECT w, low, high, fold, avg(abs(100 * ((1 - w) * a + w * least(greatest
 SELECT label, round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1, support FROM p""",
     "kind_shares": """WITH k AS (SELECT doc_id, any_value(doc_kind) AS v FROM documents GROUP BY 1) SELECT coalesce(v, '(null)') AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM k), 6) AS share FROM k GROUP BY 1""",
     "bullet_openers": rf"""WITH {_DOCS}, {_LINES}, b AS (SELECT regexp_replace(line, '^\s*([-*•▪●–]|\d{{1,2}}[.)])\s*', '') AS l FROM lines), o AS (SELECT CASE {_OPENERS} END AS opener FROM b) SELECT opener, count(*) AS n FROM o WHERE opener IS NOT NULL GROUP BY 1""",
-    "bullet_categories": rf"""WITH {_DOCS}, {_LINES}, w AS (SELECT row_number() OVER () AS id, string_split(regexp_replace(lower(line), '[^a-z]+', ' ', 'g'), ' ') AS w FROM lines WHERE line <> ''),
-c AS ({' UNION ALL '.join(f"SELECT id, '{n}' AS category, {i} AS o, len(list_filter(w, lambda x: list_contains({ws.split()}, x))) AS n FROM w" for i, (n, ws) in enumerate(R.TRIGGERS))}),
+    "bullet_categories": rf"""WITH {_DOCS}, {_LINES}, w AS (SELECT row_number() OVER () AS id, {spaced_sql("line")} AS w FROM lines WHERE line <> ''),
+c AS ({' UNION ALL '.join(f"SELECT id, '{n}' AS category, {i} AS o, " + " + ".join(f"contains(w, ' {' '.join(re.split('[-/]', x))} ')::INT" for x in words) + " AS n FROM w" for i, (n, words) in enumerate(R.TRIGGERS.items()))}),
 t AS (SELECT id, arg_max(category, n * 100 - o) AS category FROM c WHERE n > 0 GROUP BY 1) SELECT category, count(*) AS n FROM t GROUP BY 1""",
 }
 

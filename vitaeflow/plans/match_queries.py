@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vitaeflow.functions.phrases import holds_sql, spaced_sql
 from vitaeflow.operators import matching as M
 from vitaeflow.operators import similarity as V
 from vitaeflow.operators import skills as S
 from vitaeflow.operators import text as X
 from vitaeflow.plans.profile_queries import _doc_lines, skill_evidence, skill_last_used
-from vitaeflow.plans.text_queries import _DOCS, _LINES, _TOKENS, _mentions, docs
+from vitaeflow.plans.text_queries import _DOCS, _LINES, _TOKENS, _mentions, _taxonomy, docs
 from vitaeflow.sources.scratch import cut_lineage
 from vitaeflow.sources.tables import latest_by_key, read_table
 
 
-def job_parts(spark, d):
-    """Lines of job adverts by part."""
+def _clauses(spark, d):
+    """The clauses of job adverts with their parts."""
     ads = read_table(spark, d, "documents").where("doc_kind = 'job_ad'").select("doc_id").distinct()
-    return M.job_lines(_doc_lines(spark, d).join(ads, "doc_id", "left_semi"), "doc_id").select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "part")
+    return M.job_lines(_doc_lines(spark, d).join(ads, "doc_id", "left_semi"), "doc_id")
+
+
+def job_parts(spark, d):
+    """Clauses of job adverts by part."""
+    return _clauses(spark, d).select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), F.col("clause").cast("bigint").alias("clause"), "part")
 
 
 def job_families(spark, d):
@@ -32,10 +38,9 @@ def _skill_sets(spark, d):
 
 def _jobs(spark, d):
     """The required and preferred skills of each job advert."""
-    parts = M.job_lines(_doc_lines(spark, d), "doc_id")
-    m = _mentions(spark, d, False).select("doc_id", "line_no", "canonical").join(parts.select("doc_id", "line_no", "part"), ["doc_id", "line_no"])
-    ads = read_table(spark, d, "documents").where("doc_kind = 'job_ad'").select("doc_id").distinct()
-    one = m.join(ads, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set(F.when(F.col("part") == "required", F.col("canonical"))).alias("required"), F.collect_set(F.when(F.col("part") == "preferred", F.col("canonical"))).alias("p"))
+    c = _clauses(spark, d).select(F.struct("doc_id", "part").alias("k"), "line")
+    m = S.surfaces_in(c, "k", "line", _taxonomy(spark, d, False)).select("k.doc_id", "k.part", "canonical")
+    one = m.groupBy("doc_id").agg(F.collect_set(F.when(F.col("part") == "required", F.col("canonical"))).alias("required"), F.collect_set(F.when(F.col("part") == "preferred", F.col("canonical"))).alias("p"))
     return one.select(F.col("doc_id").alias("job_id"), "required", F.array_except("p", "required").alias("preferred"))
 
 
@@ -183,13 +188,21 @@ x AS (SELECT tf.*, (1 + ln(c)) * (ln((1 + n.n) / (1.0 + df.df)) + 1) AS x FROM t
 u AS (SELECT doc_id, id, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id, id)) AS w FROM x),
 dots AS (SELECT a.doc_id, b.id, sum(a.w * b.w) AS c FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.term = b.term WHERE a.id = 0 AND b.id > 0 GROUP BY ALL),
 best AS (SELECT item_id, round(coalesce(max(c), 0), 4) AS cosine FROM eval_items LEFT JOIN dots ON item_id = doc_id GROUP BY 1)"""
+_CLAUSES = "regexp_replace(line, '([.!?])\\s+', '\\1' || chr(10), 'g')"
+for _head in M.CLAUSE_HEADS:
+    _CLAUSES = f"regexp_replace({_CLAUSES}, '(?i)(\\s)({_head}\\s*[:-])', '\\1' || chr(10) || '\\2', 'g')"
+_LISTED = lambda names: "(" + ", ".join("'" + n.replace("'", "''") + "'" for n in names) + ")"
 _JOB = f"""{_SETS},
-hl AS (SELECT doc_id, line_no, line, trim(regexp_replace(line, '[*_#`]+|^[-•]\\s*', '', 'g')) AS b FROM lines WHERE line <> ''),
-own AS (SELECT *, CASE WHEN regexp_matches(b, '{M.REQUIRED_HEADING.replace(chr(39), chr(39) * 2)}') THEN 'required' WHEN regexp_matches(b, '{M.PREFERRED_HEADING.replace(chr(39), chr(39) * 2)}') THEN 'preferred' WHEN regexp_matches(b, '{M.OTHER_HEADING}') THEN 'other' END AS own FROM hl),
+own AS (SELECT *, CASE WHEN regexp_matches(regexp_replace(line, '[(][^()]*[)]\\s*:?\\s*$|^[\\s#*_`•-]+|[\\s*_`:-]+$', '', 'g'), '[^\\p{{L}}\\p{{N}}\'\'’ -]') THEN NULL WHEN h IN {_LISTED(M.REQUIRED_HEADINGS)} THEN 'required' WHEN h IN {_LISTED(M.PREFERRED_HEADINGS)} THEN 'preferred' WHEN h IN {_LISTED(M.OTHER_HEADINGS)} THEN 'other' END AS own
+  FROM (SELECT *, trim({spaced_sql("regexp_replace(line, '[(][^()]*[)]\\s*:?\\s*$', '')")}) AS h FROM lines WHERE line <> '')),
 parted AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last, coalesce(bool_or(own IN ('required', 'preferred')) OVER (PARTITION BY doc_id), false) AS headed FROM own),
-parts AS (SELECT doc_id, line_no, CASE WHEN headed THEN coalesce(last, 'other') WHEN regexp_matches(line, '{M.PREFERRED_INLINE}') THEN 'preferred' ELSE 'required' END AS part FROM parted WHERE own IS NULL),
+cut AS (SELECT doc_id, line_no, last, headed, CASE WHEN headed THEN [line] ELSE list_filter(list_transform(string_split({_CLAUSES}, chr(10)), lambda x: trim(x)), lambda x: x <> '') END AS cs FROM parted WHERE own IS NULL),
+parts AS (SELECT doc_id, line_no, clause, line, CASE WHEN headed THEN coalesce(last, 'other') WHEN {holds_sql("words", M.PREFERRED_WORDS)} THEN 'preferred' ELSE 'required' END AS part FROM (SELECT *, {spaced_sql("line")} AS words FROM (SELECT doc_id, line_no, last, headed, unnest(cs) AS line, generate_subscripts(cs, 1) AS clause FROM cut))),
+ctok AS (SELECT doc_id, part, list_transform(regexp_extract_all(line, '[A-Za-z0-9+#&]+(?:[./''-][A-Za-z0-9+#]+)*'), lambda x: lower(x)) AS t FROM parts),
+cgram AS (SELECT doc_id, part, array_to_string(t[pos:pos + n - 1], ' ') AS surface FROM (SELECT *, unnest(generate_series(1, len(t))) AS pos FROM ctok), (SELECT unnest([1, 2, 3, 4]) AS n) WHERE pos + n - 1 <= len(t)),
+cment AS (SELECT doc_id, part, skill FROM cgram JOIN tax USING (surface)),
 ads AS (SELECT DISTINCT doc_id FROM documents WHERE doc_kind = 'job_ad'), res AS (SELECT DISTINCT doc_id FROM documents WHERE doc_kind = 'resume'),
-want AS (SELECT doc_id AS job_id, skill, bool_or(part = 'required') AS req FROM ments JOIN parts USING (doc_id, line_no) WHERE doc_id IN (FROM ads) AND part <> 'other' GROUP BY ALL),
+want AS (SELECT doc_id AS job_id, skill, bool_or(part = 'required') AS req FROM cment WHERE doc_id IN (FROM ads) AND part <> 'other' GROUP BY ALL),
 jobs AS (SELECT job_id, list_sort(coalesce(list(skill) FILTER (req), [])) AS required, list_sort(coalesce(list(skill) FILTER (NOT req), [])) AS preferred FROM want GROUP BY 1),
 held AS (SELECT doc_id, list_sort(list(DISTINCT skill)) AS skills FROM ments WHERE doc_id IN (FROM res) GROUP BY 1),
 app AS (SELECT * FROM held, jobs WHERE job_id % 100 = 0 AND list_has_any(skills, list_concat(required, preferred))),
@@ -197,8 +210,8 @@ cov AS (SELECT *, list_filter(required, lambda x: list_contains(skills, x)) AS r
 sc AS (SELECT *, round(CASE WHEN len(required) > 0 AND len(preferred) > 0 THEN 0.8::DOUBLE * (len(rm)::DOUBLE / len(required)) + 0.2::DOUBLE * (len(pm)::DOUBLE / len(preferred)) WHEN len(required) > 0 THEN len(rm)::DOUBLE / len(required) WHEN len(preferred) > 0 THEN len(pm)::DOUBLE / len(preferred) ELSE 0 END, 4) AS coverage FROM cov)"""
 
 SQL = {
-    "job_parts": _JOB + " SELECT doc_id, line_no, part FROM parts WHERE doc_id IN (FROM ads)",
-    "job_families": "WITH a AS (SELECT doc_id, left(any_value(text), 300) AS t FROM documents WHERE doc_kind = 'job_ad' GROUP BY 1) SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(t, '(?i)\\b({w})\\b') THEN '{n}'" for n, w in M.FAMILIES) + " END AS family FROM a",
+    "job_parts": _JOB + " SELECT doc_id, line_no, clause, part FROM parts WHERE doc_id IN (FROM ads)",
+    "job_families": f"WITH a AS (SELECT doc_id, {spaced_sql('left(any_value(text), 300)')} AS t FROM documents WHERE doc_kind = 'job_ad' GROUP BY 1) SELECT doc_id, CASE " + " ".join(f"WHEN {holds_sql('t', words)} THEN '{n}'" for n, words in M.FAMILIES.items()) + " END AS family FROM a",
     "skill_gap": _JOB + " SELECT doc_id, job_id, array_to_string(rm, ';') AS required_matched, array_to_string(rx, ';') AS required_missing, array_to_string(list_concat(rx, px)[1:10], ';') AS recommended FROM sc",
     "coverage_plain": _JOB + " SELECT doc_id, job_id, coverage FROM sc",
     "rank_topn": _JOB + ", r AS (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY coverage DESC, len(rm) + len(pm) DESC, doc_id) AS rank, doc_id, coverage AS match_score, len(rm) + len(pm) AS skills_match_count FROM sc) SELECT * FROM r WHERE rank <= 10",
@@ -215,7 +228,7 @@ SELECT a, b, cosine FROM (SELECT p.k AS a, q.k AS b, round(sum(p.w * q.w), 6) AS
     "embed_best_match": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT q.vec_id, r.vec_id AS o, round(list_cosine_similarity(q.e, r.e), 6) AS c FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0), k AS (SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, o) AS rank, round(c, 4) AS cosine FROM p) SELECT * FROM k WHERE rank <= 5",
     "embed_meanpool": "WITH x AS (SELECT label, unnest(generate_series(0, len(embedding) - 1)) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, dim, avg(x) AS x FROM x GROUP BY ALL) SELECT label, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 4) AS x FROM m",
     "term_suggestions": f"WITH {_DOCS}, w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\b([A-Z][a-z]+[A-Z][A-Za-z]+|[A-Z]{{3,}})\\b')) AS term FROM docs) SELECT lower(term) AS term, min(term) AS display, count(DISTINCT doc_id) AS n_docs FROM w WHERE lower(term) NOT IN (SELECT lower(canonical) FROM reference_values WHERE kind = 'skill') GROUP BY lower(term) HAVING count(DISTINCT doc_id) > 1",
-    "job_requirements": _JOB + " SELECT job_id, array_to_string(required, ';') AS required, array_to_string(preferred, ';') AS preferred FROM jobs UNION ALL SELECT doc_id, '', '' FROM (SELECT DISTINCT doc_id FROM ments JOIN parts USING (doc_id, line_no) WHERE doc_id IN (FROM ads) AND doc_id NOT IN (SELECT job_id FROM jobs))",
+    "job_requirements": _JOB + " SELECT job_id, array_to_string(required, ';') AS required, array_to_string(preferred, ';') AS preferred FROM jobs UNION ALL SELECT doc_id, '', '' FROM (SELECT DISTINCT doc_id FROM cment WHERE doc_id IN (FROM ads) AND doc_id NOT IN (SELECT job_id FROM jobs))",
 }
 
 QUERIES = {f.__name__: f for f in (job_parts, job_families, job_requirements, skill_gap, coverage_plain, coverage_adjusted, recency_group_score, rank_topn, score_all_modes, exact_dedup, near_dup_edges, near_dup_groups, tfidf_pair_cosine, semantic_normalized, application_sentences, application_semantic, embed_best_match, embed_meanpool, term_suggestions)}

@@ -92,7 +92,7 @@ def redacted_text(spark, d):
 
 def redaction_counts(spark, d):
     a = P.redaction_audit(X.lines_of(_requests(spark, d), "request_id", "resume_text"), "request_id")
-    return a.where("type in ('email', 'year')").groupBy("request_id", "type").agg(F.sum("n").cast("bigint").alias("n"))
+    return a.groupBy("request_id", "type").agg(F.sum("n").cast("bigint").alias("n"))
 
 
 def residual_flags(spark, d):
@@ -103,7 +103,7 @@ def residual_flags(spark, d):
 def dated_lines(spark, d):
     """Jobs with dates in the lines of documents."""
     e = E.dated_lines(X.with_sections(_doc_lines(spark, d), "doc_id"), "doc_id", RUNNING)
-    return e.select("doc_id", "line_no", "title", "company", "s", "e", "bucket", "is_internship")
+    return e.select("doc_id", "line_no", "range_no", "title", "company", "s", "e", "bucket", "is_internship", "confidence")
 
 
 def dated_months(spark, d):

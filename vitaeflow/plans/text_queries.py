@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitaeflow.functions.phrases import holds_sql, spaced_sql
 from vitaeflow.operators import skills as S
 from vitaeflow.operators import text as X
 from vitaeflow.operators.dedup import one_per_key
@@ -17,14 +20,10 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean_text(spark, d):
-    t = docs(spark, d).select("doc_id", X.light_clean(F.col("text")).alias("clean"))
+    t = docs(spark, d).select("doc_id", X.light_clean(X.nfkc("text")).alias("clean"))
     return t.select("doc_id", "clean", X.preview(F.col("clean"), 120).alias("preview"))
 
 
-def clean_text_nfkc(spark, d):
-    return docs(spark, d).select("doc_id", X.light_clean(X.nfkc("text")).alias("clean"))
-
-
 def line_sections(spark, d):
     return X.with_sections(X.lines_of(docs(spark, d), "doc_id", "text"), "doc_id").select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "section", "is_heading")
 
@@ -63,10 +62,10 @@ def skill_category_rollup(spark, d):
 
 def skill_confidence(spark, d):
     """Mentions by the sentence they stand in; a skill is ``high`` if any mention is."""
-    m = _mentions(spark, d, False).select("doc_id", "line_no", "canonical", "raw")
+    m = _mentions(spark, d, False).select("doc_id", "line_no", "canonical", "raw").distinct()
     lines = X.lines_of(docs(spark, d), "doc_id", "text")
-    j = m.join(lines, ["doc_id", "line_no"])
-    c = j.withColumn("confidence", S.mention_confidence(F.col("line"), F.col("raw")))
+    j = m.join(lines, ["doc_id", "line_no"]).select("doc_id", "canonical", "raw", F.explode(F.split("line", r"(?<=[.!?])\s+")).alias("sentence"))
+    c = j.withColumn("confidence", S.mention_confidence(F.col("sentence"), F.col("raw"))).where("confidence is not null")
     return c.groupBy("doc_id", F.col("canonical").alias("skill")).agg(F.min("confidence").alias("confidence"))
 
 
@@ -85,10 +84,40 @@ grams AS (SELECT doc_id, line_no, pos, array_to_string(t[pos:pos + n - 1], ' ')
 tax AS (SELECT array_to_string(regexp_extract_all(lower(canonical), '[A-Za-z0-9+#&]+(?:[./''-][A-Za-z0-9+#]+)*'), ' ') AS surface, lower(canonical) AS skill, category FROM reference_values WHERE kind = 'skill')"""
 _SHORT = "short AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in S.SHORT_FORMS.items()) + ") AS v(surface, skill))"
 
+# By rule: each sign with its compatibility form, where that is another one.
+_COMPATIBLE = ", ".join(f"('{chr(c)}', '{n.replace(chr(39), chr(39) * 2)}')" for c in (*range(0xA0, 0xD800), *range(0xF900, 0xFFF0), *range(0x1D400, 0x1D800)) if (n := unicodedata.normalize("NFKC", chr(c))) != chr(c))
+_NFKC = f"""wide AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM docs WHERE regexp_matches(text, '[^\\x00-\\x7F]')),
+narrow AS (SELECT doc_id, nfc_normalize(string_agg(coalesce(v.n, c), '' ORDER BY i)) AS text FROM wide LEFT JOIN (VALUES {_COMPATIBLE}) AS v(k, n) ON v.k = wide.c GROUP BY 1),
+composed AS (SELECT doc_id, coalesce(narrow.text, docs.text) AS text FROM docs LEFT JOIN narrow USING (doc_id))"""
+
+
+def _condition_sql(place: int | str, words: tuple) -> str:
+    listed = "(" + ", ".join(f"'{w.replace(chr(39), chr(39) * 2)}'" for w in words) + ")"
+    if place == "as":
+        return f"raw IN {listed}"
+    if place == "dot":
+        return "dot"
+    if place == "number":
+        return f"(regexp_matches(coalesce(b[-1], ''), '[0-9]') OR coalesce(b[-1], '') IN ({', '.join(repr(w) for w in S.NUMBER_WORDS)}))"
+    if isinstance(place, str):
+        return "(" + " OR ".join(f"contains(array_to_string({place[0]}, ' '), '{w}')" for w in words) + ")"
+    return f"coalesce({'b' if place < 0 else 'a'}[{place}] IN {listed}, false)"
+
+
+_GUARDED = "CASE " + " ".join("WHEN " + " AND ".join([f"surface IN ({', '.join(repr(x) for x in names)})", *[_condition_sql(*c) for c in conditions.items()]]) + f" THEN {verdict}" for names, verdict, conditions in S.GUARDS) + " ELSE true END"
+_NEAR_TOKENS = r"""ends AS (SELECT doc_id, line_no, regexp_extract_all(line, '[A-Za-z0-9+#&]+(?:[./''-][A-Za-z0-9+#]+)*\.?') AS e FROM lines),
+tk AS (SELECT doc_id, line_no, e, list_transform(e, lambda x: rtrim(x, '.')) AS r, list_transform(e, lambda x: lower(rtrim(x, '.'))) AS t FROM ends),
+near AS (SELECT doc_id, line_no, array_to_string(r[pos:pos + n - 1], ' ') AS raw, array_to_string(t[pos:pos + n - 1], ' ') AS surface, t[greatest(pos - 4, 1):pos - 1] AS b, t[pos + n:pos + n + 3] AS a, ends_with(e[pos + n - 1], '.') AS dot FROM (
+  SELECT *, unnest(generate_series(1, len(t))) AS pos FROM tk), (SELECT unnest([1, 2, 3, 4]) AS n) WHERE pos + n - 1 <= len(t))"""
+_TURN_SQL, _WEAK_SQL = [f"' {p} '" for p in S.TURNING], [f"' {p} '" for p in S.WEAKENING]
+_LAST_TURN = "greatest(0, " + ", ".join(f"CASE WHEN contains(bef, {p}) THEN length(bef) - instr(reverse(bef), reverse({p})) ELSE 0 END" for p in _TURN_SQL) + ")"
+_FIRST_TURN = "least(length(aft), " + ", ".join(f"CASE WHEN contains(aft, {p}) THEN instr(aft, {p}) ELSE length(aft) END" for p in _TURN_SQL) + ")"
+_SOON = " OR ".join(f"(contains(head, {p}) AND len(string_split(left(head, instr(head, {p}) - 1), ' ')) - 1 <= {S.REACH})" for p in _WEAK_SQL)
+
 SQL = {
-    "clean_text": rf"""WITH {_DOCS},
-a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g') AS t FROM docs),
-b AS (SELECT doc_id, replace(translate(t, '‘’“”–—•●▪' || chr(160), '''''""----- '), '…', '...') AS t FROM a),
+    "clean_text": rf"""WITH {_DOCS}, {_NFKC},
+a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g') AS t FROM composed),
+b AS (SELECT doc_id, replace(translate(t, '‘’“”–—•‣■●', '''''""------'), '…', '...') AS t FROM a),
 c AS (SELECT doc_id, array_to_string(list_transform(list_filter(string_split(t, chr(10)), lambda x: NOT regexp_matches(x, '^[-=*_~#]{{3,}}[ \t]*$')), lambda x: {_CLEAN_LINE.format(x="x")}), chr(10)) AS t FROM b),
 e AS (SELECT doc_id, nullif(regexp_replace(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), '^[\s\x0B]+|[\s\x0B]+$', '', 'g'), '') AS clean FROM c)
 SELECT doc_id, clean, CASE WHEN length(clean) > 120 THEN left(clean, 120) || '...' ELSE clean END AS preview FROM e""",
@@ -99,6 +128,15 @@ SELECT doc_id, line_no, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY
     "skill_match": rf"""WITH {_DOCS}, {_LINES}, {_TOKENS},
 m AS (SELECT g.doc_id, t.skill, t.category, g.line_no, g.pos FROM grams g JOIN tax t USING (surface))
 SELECT doc_id, skill, min(category) AS category, arg_min(line_no, line_no * 100000 + pos) AS line_no, arg_min(pos, line_no * 100000 + pos) AS pos FROM m GROUP BY 1, 2""",
+    "skill_match_guarded": rf"""WITH {_DOCS}, {_LINES}, {_NEAR_TOKENS}, {_TOKENS}, {_SHORT}
+SELECT DISTINCT doc_id, skill FROM near JOIN (SELECT surface, skill FROM tax UNION ALL SELECT surface, skill FROM short) USING (surface) WHERE {_GUARDED}""",
+    "skill_confidence": rf"""WITH {_DOCS}, {_LINES}, {_NEAR_TOKENS}, {_TOKENS},
+m AS (SELECT DISTINCT n.doc_id, n.line_no, t.skill, n.raw FROM near n JOIN tax t USING (surface)),
+st AS (SELECT m.doc_id, m.skill, m.raw, unnest(string_split(regexp_replace(line, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS sentence FROM m JOIN lines USING (doc_id, line_no)),
+w AS (SELECT doc_id, skill, {spaced_sql("sentence")} AS x, {spaced_sql("raw")} AS q FROM st),
+p AS (SELECT *, instr(x, q) AS spot FROM w WHERE contains(x, q)), c AS (SELECT *, left(x, spot) AS bef, substring(x, spot + length(q) - 1) AS aft FROM p),
+e AS (SELECT *, substring(bef, {_LAST_TURN} + 1) AS tail, left(aft, {_FIRST_TURN}) AS head FROM c)
+SELECT doc_id, skill, min(CASE WHEN {holds_sql("tail", S.WEAKENING)} OR {_SOON} OR ({holds_sql("x", S.WEAKENING)} AND NOT {holds_sql("x", S.TURNING)}) THEN 'low' ELSE 'high' END) AS confidence FROM e GROUP BY 1, 2""",
     "skill_match_unguarded": rf"""WITH {_DOCS}, {_LINES}, {_TOKENS}, {_SHORT}
 SELECT DISTINCT doc_id, skill FROM grams JOIN (SELECT surface, skill FROM tax UNION ALL SELECT surface, skill FROM short) USING (surface)""",
     "skill_category_rollup": rf"""WITH {_DOCS}, {_LINES}, {_TOKENS},
@@ -106,4 +144,4 @@ m AS (SELECT DISTINCT g.doc_id, t.skill, t.category FROM grams g JOIN tax t USIN
 SELECT category, skill, count(*) AS n_docs, CAST(grouping_id(category, skill) AS INTEGER) AS level FROM m GROUP BY ROLLUP (category, skill)""",
 }
 
-QUERIES = {f.__name__: f for f in (clean_text, clean_text_nfkc, line_sections, sentence_chunks, skill_match, skill_match_guarded, skill_match_unguarded, skill_category_rollup, skill_confidence, file_names)}
+QUERIES = {f.__name__: f for f in (clean_text, line_sections, sentence_chunks, skill_match, skill_match_guarded, skill_match_unguarded, skill_category_rollup, skill_confidence, file_names)}
