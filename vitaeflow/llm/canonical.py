@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vitaeflow.operators.joins import union_all
 from vitaeflow.sources.scratch import broadcaster, cut_lineage
 
 #: Forms of reference entries up to which what is derived from them is broadcast: of a form about a hundred short keys.
@@ -92,45 +91,39 @@ def _bound(i: str, n: str, k: str, shift: str) -> str:
     return f"cast(floor(({i}) * {n} / ({k} + 1)) as int) + if({i} between 1 and {k}, {shift}, 0)"
 
 
-def _segments(strings: DataFrame, *kept: str, cuts: int = 1) -> DataFrame:
-    """``*kept, n, cut, i, seg``: the k + 1 segments of each string ``s`` of n letters with ``k`` edits. With two ``cuts`` the
-    string is cut a second time, one letter further, so that two swapped letters lie within a segment of one of them."""
-    size = f"({_bound('i + 1', 'length(s)', 'k', 'cut')} - ({_bound('i', 'length(s)', 'k', 'cut')}))"
-    one = F.expr(
-        f"flatten(transform(sequence(0, {cuts - 1}), cut -> transform(sequence(0, k), i -> named_struct('cut', cut, 'i', i, 'seg',"
-        f" substring(s, {_bound('i', 'length(s)', 'k', 'cut')} + 1, least({_KEY_LETTERS}, {size}))))))"
+def _segment_keys(s: str, k: str, cuts: int = 1) -> str:
+    """SQL for the keys ``n:cut:i:segment`` of the k + 1 segments of string ``s`` of n letters. With two ``cuts`` the string is cut a second
+    time, one letter further, so that two swapped letters lie within a segment of one of them."""
+    n = f"length({s})"
+    size = f"least({_KEY_LETTERS}, {_bound('i + 1', n, k, 'cut')} - ({_bound('i', n, k, 'cut')}))"
+    return (
+        f"flatten(transform(sequence(0, {cuts - 1}), cut -> transform(filter(sequence(0, {k}), i -> {size} > 0), i ->"
+        f" concat_ws(':', {n}, cut, i, substring({s}, {_bound('i', n, k, 'cut')} + 1, {size})))))"
     )
-    return strings.select(*kept, F.length("s").alias("n"), F.inline(one)).where("seg <> ''")
 
 
-def _substrings(values: DataFrame, edits: str, reach: int, *kept: str, cuts: int = 1) -> DataFrame:
-    """``*kept, n, cut, i, seg``: for each length n that a reference string may have, at most ``reach`` from the value's, and
-    each of its segments, the substrings of ``s`` where that segment can stand: with j edits before it, at most j places
-    off, and with the others after it. ``edits`` is the number of edits by ``n`` in SQL; none where it is null."""
-    grid = F.expr(
-        f"flatten(transform(filter(sequence(greatest(length(s) - {reach}, 1), length(s) + {reach}), n -> {edits} is not null), n -> "
-        f"  flatten(transform(sequence(0, {cuts - 1}), cut -> transform(sequence(0, {edits}), i -> named_struct('n', n, 'cut', cut, 'i', i, 'k', {edits}))))))"
+def _substring_keys(s: str, edits: str, reach: int, cuts: int = 1) -> str:
+    """SQL for the keys that a value ``s`` may share with a reference string: for each length n that one may have, at most ``reach`` from
+    the value's, and each of its segments, the substrings where that segment can stand: with j edits before it at most j places off, and with the
+    others after it. Swapped letters move nothing. ``edits`` is the number of edits by ``n``; none where it is null."""
+    size = f"least({_KEY_LETTERS}, {_bound('i + 1', 'n', edits, 'cut')} - ({_bound('i', 'n', edits, 'cut')}))"
+    start = f"({_bound('i', 'n', edits, 'cut')} + d)"
+    low, high = f"greatest(-i, length({s}) - n - {edits} + i)", f"least(i, length({s}) - n + {edits} - i)"
+    return (
+        f"flatten(transform(filter(sequence(greatest(length({s}) - {reach}, 1), length({s}) + {reach}), n -> {edits} is not null and abs(length({s}) - n) <= {edits}), n ->"
+        f" flatten(transform(sequence(0, {cuts - 1}), cut -> flatten(transform(filter(sequence(0, {edits}), i -> {low} <= {high} and {size} > 0), i ->"
+        f" transform(filter(sequence({low}, {high}), d -> {start} >= 0 and {start} + {size} <= length({s})), d -> concat_ws(':', n, cut, i, substring({s}, {start} + 1, {size})))))))))"
     )
-    g = values.select(*kept, "s", F.inline(grid)).withColumn("delta", F.length("s") - F.col("n")).where("abs(delta) <= k")
-    # Swapped letters move nothing, so the bounds on the places are those of the other edits.
-    g = g.select(*kept, "s", "n", "cut", "i", "k", "delta", F.explode(F.sequence(F.greatest(-F.col("i"), F.col("delta") - F.col("k") + F.col("i")), F.least(F.col("i"), F.col("delta") + F.col("k") - F.col("i")))).alias("d"))
-    g = g.withColumn("from", F.expr(_bound("i", "n", "k", "cut")) + F.col("d")).withColumn("size", F.expr(f"least({_KEY_LETTERS}, {_bound('i + 1', 'n', 'k', 'cut')} - ({_bound('i', 'n', 'k', 'cut')}))"))
-    return g.where("from >= 0 and size > 0 and from + size <= length(s)").select(*kept, "n", "cut", "i", F.expr("substring(s, from + 1, size)").alias("seg"))
 
 
 _LETTERS = "array_join(array_sort(split({0}, '')), '')"
 
 
 def edit_candidates(strings: DataFrame, forms: DataFrame, spread: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``kind, s, ref_id, r, k``, distinct: strings and reference strings that share a segment at its place, or all
-    their letters."""
+    """``kind, s, ref_id, r, k``, distinct: strings and reference strings that share a segment at its place."""
     edits = "case when n < 6 then 1 when n < 12 then 2 else 3 end"
-    refs = forms.select("kind", "ref_id", "s", "k").distinct()
-    by_place = _substrings(strings, edits, 3, "kind", "s", cuts=2).join(spread(_segments(refs.withColumn("r", F.col("s")), "kind", "ref_id", "r", "k", cuts=2)), ["kind", "n", "cut", "i", "seg"])
-    letters = F.expr(_LETTERS.format("s"))
-    by_letters = strings.withColumn("seg", letters).join(spread(refs.select("kind", "ref_id", F.col("s").alias("r"), "k", letters.alias("seg"))), ["kind", "seg"])
-    columns = ("kind", "s", "ref_id", "r", "k")
-    return by_place.select(*columns).unionByName(by_letters.select(*columns)).distinct()
+    refs = forms.select("kind", "ref_id", F.col("s").alias("r"), "k", F.expr(f"explode({_segment_keys('s', 'k', 2)})").alias("key"))
+    return strings.select("kind", "s", F.expr(f"explode({_substring_keys('s', edits, 3, 2)})").alias("key")).join(spread(refs), ["kind", "key"]).select("kind", "s", "ref_id", "r", "k").distinct()
 
 
 # What a typed word may be of a reference word: the beginning of it, a shortening that keeps its first letter and the
@@ -151,28 +144,19 @@ def word_candidates(typed: DataFrame, known: DataFrame, spread: Callable[[DataFr
     Beginnings meet on their first six letters, shortenings on their first letter and two that follow it in order
     (on all of it, where it has two), words with edits and beginnings with edits on a segment at its place.
     """
-    w, r = typed.select("w").distinct(), known.select("r").distinct()
-    cut = lambda d, c: d.withColumn("s", F.col(c))
     edits, start_edits = "case when n < 4 then null when n < 6 then 1 else 2 end", "case when n < 4 then null when n < 7 then 1 else 2 end"
-    # Reference words as letters: where each distinct letter after the first stands first and last.
-    spots = F.expr("transform(filter(array_distinct(split(substring(r, 2), '')), c -> c <> ''), c -> named_struct('c', c, 'first', locate(c, r, 2), 'last', length(r) + 1 - locate(c, reverse(r))))")
-    pairs = F.expr("flatten(transform(spots, a -> transform(filter(spots, b -> b.last > a.first), b -> concat(left(r, 1), a.c, b.c))))")
-    twos = F.expr("transform(spots, a -> concat(left(r, 1), a.c))")
-    starts = F.expr("transform(sequence(4, length(r) - 1), n -> left(r, n))")
-    left = [
-        w.select("w", F.concat(F.lit("p"), F.left("w", F.lit(6))).alias("key")), w.where("length(w) > 1").select("w", F.concat(F.lit("s"), F.left("w", F.lit(3))).alias("key")),
-        _substrings(cut(w, "w"), edits, 2, "w").select("w", F.concat_ws(":", F.lit("e"), "n", "i", "seg").alias("key")),
-        _substrings(cut(w.where("length(w) > 3"), "w"), start_edits, 0, "w").select("w", F.concat_ws(":", F.lit("b"), "n", "i", "seg").alias("key")),
-    ]
-    begun = r.where("length(r) > 4").select("r", F.explode(starts).alias("s")).withColumn("k", F.when(F.length("s") < 7, 1).otherwise(2))
-    whole = cut(r.where("length(r) > 3"), "r").withColumn("k", F.when(F.length("s") < 6, 1).otherwise(2))
-    right = [
-        r.select("r", F.explode(F.expr("transform(sequence(1, least(6, length(r))), n -> concat('p', left(r, n)))")).alias("key")),
-        r.where("length(r) > 3").withColumn("spots", spots).select("r", F.explode(F.transform(F.concat(pairs, twos), lambda x: F.concat(F.lit("s"), x))).alias("key")),
-        _segments(whole, "r").select("r", F.concat_ws(":", F.lit("e"), "n", "i", "seg").alias("key")), _segments(begun, "r").select("r", F.concat_ws(":", F.lit("b"), "n", "i", "seg").alias("key")),
-    ]
-    keys = union_all(right)
-    return union_all(left).join(spread(keys), "key").select("w", "r").distinct()
+    named = lambda name, keys: f"transform({keys}, x -> concat('{name}', x))"
+    left = f"concat(array(concat('p', left(w, 6)), concat('s', left(w, 3))), {named('e', _substring_keys('w', edits, 2))}, {named('b', _substring_keys('w', start_edits, 0))})"
+    # Of a reference word: where each letter after the first stands first and last; its beginnings of four letters or more.
+    spots = "transform(filter(array_distinct(split(substring(r, 2), '')), c -> c <> ''), c -> named_struct('c', c, 'first', locate(c, r, 2), 'last', length(r) + 1 - locate(c, reverse(r))))"
+    short = "concat(flatten(transform(spots, a -> transform(filter(spots, b -> b.last > a.first), b -> concat('s', left(r, 1), a.c, b.c)))), transform(spots, a -> concat('s', left(r, 1), a.c)))"
+    begun = f"flatten(transform(if(length(r) > 4, sequence(4, length(r) - 1), array()), m -> {_segment_keys('left(r, m)', 'if(m < 7, 1, 2)')}))"
+    whole = _segment_keys("r", "if(length(r) < 6, 1, 2)")
+    long = f"concat({named('e', whole)}, {named('b', begun)}, {short})"
+    right = f"concat(transform(sequence(1, least(6, length(r))), n -> concat('p', left(r, n))), if(length(r) > 3, {long}, array()))"
+    w = typed.select("w").distinct().select("w", F.expr(f"explode({left})").alias("key"))
+    r = known.select("r").distinct().select("r", F.expr(spots).alias("spots")).select("r", F.expr(f"explode({right})").alias("key"))
+    return w.join(spread(r), "key").select("w", "r").distinct()
 
 
 def _best(found: DataFrame) -> DataFrame:
