@@ -45,7 +45,9 @@ def changed(words, edits):
     return " ".join(w for w in words if w)
 
 
-def test_leaks(spark):
+@pytest.mark.parametrize("most", [leakage.INDEX_WORDS, 0])  # by an index in the tasks, and by a join of windows
+def test_leaks(spark, monkeypatch, most):
+    monkeypatch.setattr(leakage, "INDEX_WORDS", most)
     docs, want = [], set()
     for d in range(120):
         item = RNG.randrange(6)
