@@ -110,27 +110,39 @@ def classification_report(df: DataFrame, actual: str, predicted: str) -> DataFra
 
 
 def paired_difference(df: DataFrame, a: str, b: str) -> DataFrame:
-    """``n, mean, se, low, high``: the mean difference with its 95 % interval (normal quantile from 30 rows on, else Student's)."""
-    s = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(F.count("*").alias("n"), F.avg(F.col(a) - F.col(b)).alias("mean"), (F.stddev_samp(F.col(a) - F.col(b)) / F.sqrt(F.count("*"))).alias("se")).first()
+    """``n, mean, se, low, high, t, p, w, p_signed``: the mean difference with its 95 % interval by Student's distribution, the paired t-test, and Wilcoxon's
+    signed-rank test (the smaller rank sum; normal approximation with ties, differences of 0 left out). Probabilities are two-sided; null where nothing varies."""
+    d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select((F.col(a) - F.col(b)).alias("d"))
+    s = d.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), (F.stddev_samp("d") / F.sqrt(F.count("*"))).alias("se")).first()
     n, mean, se = s["n"], s["mean"], s["se"]
-    t = student_quantile(0.975, n - 1) if n > 1 else 0.0
-    row = (n, *(None if x is None else round(float(x), 4) for x in (mean, se, None if se is None else mean - t * se, None if se is None else mean + t * se)))
-    return df.sparkSession.createDataFrame([row], "n bigint, mean double, se double, low double, high double")
+    q = student_quantile(0.975, n - 1) if n > 1 else 0.0
+    t = mean / se if se else None
+    p = None if t is None else 2 * (1 - student_cdf(abs(t), n - 1))
+    ranked = average_ranks(d.where("d <> 0").select("d", F.abs("d").alias("size"), F.lit(0).alias("g")), "size", "r", ["g"])
+    ties = ranked.groupBy("size").agg(F.count("*").cast("double").alias("c")).agg(F.coalesce(F.sum(F.col("c") ** 3 - F.col("c")), F.lit(0.0)).alias("ties"))
+    r = ranked.agg(F.count("*").alias("m"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r"))), F.lit(0.0)).alias("plus"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("r"))), F.lit(0.0)).alias("minus")).first()
+    m, w = r["m"], float(min(r["plus"], r["minus"]))
+    spread = math.sqrt(max(0.0, m * (m + 1) * (2 * m + 1) / 24 - ties.first()["ties"] / 48))
+    signed = math.erfc(abs(w - m * (m + 1) / 4) / spread / math.sqrt(2)) if spread else None
+    row = (n, *(None if x is None else round(float(x), 4) for x in (mean, se, None if se is None else mean - q * se, None if se is None else mean + q * se, t, p, w, signed)))
+    return df.sparkSession.createDataFrame([row], "n bigint, mean double, se double, low double, high double, t double, p double, w double, p_signed double")
+
+
+def student_cdf(t: float, dof: int) -> float:
+    """Student's distribution function, summed in closed form for whole degrees of freedom."""
+    theta = math.atan(t / math.sqrt(dof))
+    if dof % 2:
+        s = theta + (math.sin(theta) * _series(dof, theta) if dof > 1 else 0.0)
+        return 0.5 + s / math.pi
+    return 0.5 + 0.5 * math.sin(theta) * _series(dof, theta)
 
 
 def student_quantile(p: float, dof: int) -> float:
-    """By bisection of the distribution function, which is summed in closed form for whole degrees of freedom."""
-    def cdf(t: float) -> float:
-        theta = math.atan(t / math.sqrt(dof))
-        if dof % 2:
-            s = theta + (math.sin(theta) * _series(dof, theta) if dof > 1 else 0.0)
-            return 0.5 + s / math.pi
-        return 0.5 + 0.5 * math.sin(theta) * _series(dof, theta)
-
+    """By bisection of the distribution function."""
     lo, hi = 0.0, 1e3
     for _ in range(80):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if cdf(mid) < p else (lo, mid)
+        lo, hi = (mid, hi) if student_cdf(mid, dof) < p else (lo, mid)
     return (lo + hi) / 2
 
 

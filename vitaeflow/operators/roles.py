@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, StringIndexer
@@ -64,5 +66,16 @@ def held_out(df: DataFrame, key: str, text: str, label: str, fold: int = 0) -> D
 def without_title_words(text: Column, titles: list[str]) -> Column:
     """The text without the words of role titles, for a test of leakage."""
     words = sorted({w for t in titles for w in t.lower().split() if len(w) > 2}, key=lambda w: (-len(w), w))
-    return F.regexp_replace(text, r"(?i)\b(?:" + "|".join(words) + r")\b", " ")
+    if not words:
+        return text
+    return F.regexp_replace(text, r"(?i)(?<!\w)(?:" + "|".join(map(re.escape, words)) + r")(?!\w)", " ")
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """Write a model to a folder that all executors share, in place of an earlier one."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
 

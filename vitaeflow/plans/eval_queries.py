@@ -12,13 +12,14 @@ from vitaeflow.operators import rewrite as R
 from vitaeflow.operators import text as X
 from vitaeflow.plans.profile_queries import _doc_lines
 from vitaeflow.plans.text_queries import _DOCS, _LINES, _mentions
+from vitaeflow.sources.scratch import broadcaster
 from vitaeflow.sources.tables import latest_by_key, read_table
 
 RATERS = ["rater1", "rater2", "rater3", "rater4"]
 
 
 def _results(spark, d):
-    cols = ["resume_id", "tp_count", "fp_count", "fn_count", "true_positives", "false_negatives", "evaluated_at"]
+    cols = ["resume_id", "tp_count", "fp_count", "fn_count", "extracted_skills", "true_positives", "false_negatives", "evaluated_at"]
     return latest_by_key(read_table(spark, d, "skill_eval_results").select(*cols), "resume_id", "evaluated_at")
 
 
@@ -32,7 +33,7 @@ def _items(df, column):
 
 def label_counts(spark, d):
     r = _results(spark, d)
-    return M.labels_against_found(_items(r, "true_positives").unionByName(_items(r, "false_negatives")), _items(r, "true_positives"), "resume_id", "skill")
+    return M.labels_against_found(_items(r, "true_positives").unionByName(_items(r, "false_negatives")), _items(r, "extracted_skills"), "resume_id", "skill")
 
 
 def top_errors(spark, d):
@@ -42,7 +43,7 @@ def top_errors(spark, d):
 def non_canonical_labels(spark, d):
     refs = read_table(spark, d, "reference_values").where("kind = 'skill'").select(F.lower("canonical").alias("skill"))
     i = _items(_results(spark, d), "false_negatives").withColumn("skill", F.lower("skill"))
-    return i.join(F.broadcast(refs), "skill", "left_anti").groupBy("skill").agg(F.count("*").alias("n"))
+    return i.join(broadcaster(refs)(refs), "skill", "left_anti").groupBy("skill").agg(F.count("*").alias("n"))
 
 
 def _ratings(spark, d):
@@ -119,7 +120,7 @@ def bullet_categories(spark, d):
     return c.groupBy("category").agg(F.count("*").alias("n"))
 
 
-_RES = "r AS (SELECT resume_id, any_value(tp_count) AS tp, any_value(fp_count) AS fp, any_value(fn_count) AS fn, any_value(true_positives) AS tps, any_value(false_negatives) AS fns FROM skill_eval_results GROUP BY 1)"
+_RES = "r AS (SELECT resume_id, any_value(tp_count) AS tp, any_value(fp_count) AS fp, any_value(fn_count) AS fn, any_value(true_positives) AS tps, any_value(false_negatives) AS fns, any_value(extracted_skills) AS ext FROM skill_eval_results GROUP BY 1)"
 _RAT = "r AS (SELECT pair_id, any_value(panel_id) AS panel_id, any_value(jd_file) AS jd_file, " + ", ".join(f"CASE WHEN any_value({x}) BETWEEN 0 AND 100 THEN any_value({x}) END AS {x}" for x in RATERS) + " FROM pairs_template GROUP BY 1)"
 _BANDS = "b AS (SELECT CASE WHEN rater1 >= 70 THEN 'strong' WHEN rater1 >= 40 THEN 'moderate' ELSE 'weak' END AS actual, CASE WHEN rater3 >= 70 THEN 'strong' WHEN rater3 >= 40 THEN 'moderate' ELSE 'weak' END AS predicted FROM r WHERE rater1 IS NOT NULL AND rater3 IS NOT NULL)"
 _SAFE = "CASE WHEN count(*) > 1 AND stddev_pop(x) > 1e-9 AND stddev_pop(y) > 1e-9 THEN corr(x, y) ELSE 0 END"
@@ -129,8 +130,8 @@ _OPENERS = " ".join(rf"WHEN regexp_matches(l, '(?i)^(i\s+|my\s+|(i\s+)?was\s+)?{
 SQL = {
     "prf_micro_macro": f"""WITH {_RES}, o AS (SELECT CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS q, * FROM r), a AS (SELECT sum(tp) / nullif(sum(tp + fp), 0) AS mp, sum(tp) / nullif(sum(tp + fn), 0) AS mq, avg(p) AS p, avg(q) AS q, avg(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END) AS f FROM o)
 SELECT 'micro' AS average, round(mp, 4) AS precision, round(mq, 4) AS recall, round(2 * mp * mq / (mp + mq), 4) AS f1 FROM a UNION ALL SELECT 'macro', round(p, 4), round(q, 4), round(f, 4) FROM a""",
-    "label_counts": f"""WITH {_RES}, t AS (SELECT DISTINCT resume_id, trim(unnest(string_split(tps, ';'))) AS s FROM r), l AS (SELECT resume_id, s FROM t UNION SELECT resume_id, trim(unnest(string_split(fns, ';'))) FROM r)
-SELECT resume_id, count(*) FILTER (f) AS tp, CAST(0 AS BIGINT) AS fp, count(*) FILTER (NOT f) AS fn FROM (SELECT l.resume_id, t.s IS NOT NULL AS f FROM l LEFT JOIN t USING (resume_id, s) WHERE l.s <> '') GROUP BY 1""",
+    "label_counts": f"""WITH {_RES}, l AS (SELECT resume_id, trim(unnest(string_split(tps, ';'))) AS s FROM r UNION SELECT resume_id, trim(unnest(string_split(fns, ';'))) FROM r), e AS (SELECT DISTINCT resume_id, trim(unnest(string_split(ext, ';'))) AS s FROM r)
+SELECT coalesce(l.resume_id, e.resume_id) AS resume_id, count(*) FILTER (l.s IS NOT NULL AND e.s IS NOT NULL) AS tp, count(*) FILTER (l.s IS NULL) AS fp, count(*) FILTER (e.s IS NULL) AS fn FROM (SELECT * FROM l WHERE s <> '') l FULL JOIN (SELECT * FROM e WHERE s <> '') e ON l.resume_id = e.resume_id AND l.s = e.s GROUP BY 1""",
     "top_errors": f"""WITH {_RES}, e AS (SELECT resume_id, trim(unnest(string_split(fns, ';'))) AS skill FROM r) SELECT skill, count(*) AS n, count(DISTINCT resume_id) AS n_keys FROM e WHERE skill <> '' GROUP BY 1 ORDER BY n DESC, skill COLLATE "C" LIMIT 15""",
     "non_canonical_labels": f"""WITH {_RES}, e AS (SELECT lower(trim(unnest(string_split(fns, ';')))) AS skill FROM r) SELECT skill, count(*) AS n FROM e WHERE skill <> '' AND skill NOT IN (SELECT lower(canonical) FROM reference_values WHERE kind = 'skill') GROUP BY 1""",
     "human_means": f"""WITH {_RAT}, v AS (SELECT pair_id, unnest([rater1, rater2, rater3, rater4]) AS x FROM r) SELECT pair_id, count(x) AS n, round(avg(x), 4) AS mean FROM v GROUP BY 1 HAVING count(x) > 0""",

@@ -11,7 +11,7 @@ from vitaeflow.operators import skills as S
 from vitaeflow.operators import text as X
 from vitaeflow.plans.profile_queries import _doc_lines, skill_evidence, skill_last_used
 from vitaeflow.plans.text_queries import _DOCS, _LINES, _TOKENS, _mentions, _taxonomy, docs
-from vitaeflow.sources.scratch import cut_lineage
+from vitaeflow.sources.scratch import broadcaster, cut_lineage
 from vitaeflow.sources.tables import latest_by_key, read_table
 
 
@@ -174,7 +174,7 @@ def term_suggestions(spark, d):
     w = docs(spark, d).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]+[A-Z][A-Za-z]+|[A-Z]{3,})\b"), 1))).alias("term"))
     known = read_table(spark, d, "reference_values").where("kind = 'skill'").select(F.lower("canonical").alias("t"))
     c = w.groupBy(F.lower("term").alias("t")).agg(F.count_distinct("doc_id").alias("n_docs"), F.min("term").alias("display"))
-    return c.where("n_docs > 1").join(F.broadcast(known), "t", "left_anti").select(F.col("t").alias("term"), "display", "n_docs")
+    return c.where("n_docs > 1").join(broadcaster(known)(known), "t", "left_anti").select(F.col("t").alias("term"), "display", "n_docs")
 
 
 _SETS = f"""WITH {_DOCS}, {_LINES}, {_TOKENS}, ments AS (SELECT g.doc_id, g.line_no, t.skill FROM grams g JOIN tax t USING (surface))"""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vitaeflow.plans import eval_queries, experience_periods, match_queries, packed_skills, profile_queries, system_queries, text_queries
+from vitaeflow.plans import bulk_queries, eval_queries, experience_periods, match_queries, packed_skills, profile_queries, system_queries, text_queries
 
-_MODULES = (text_queries, profile_queries, match_queries, eval_queries, system_queries)
+_MODULES = (text_queries, profile_queries, match_queries, eval_queries, system_queries, bulk_queries)
 
 
 def queries() -> dict:
