@@ -6,7 +6,7 @@ Spark keeps the look-up in generated code. Hyphens, slashes and other signs part
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -28,6 +28,11 @@ def spaced_text(text: Column) -> Column:
     return spaced(words_of(text))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, however often it is used; Spark repeats it otherwise in each branch and lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def holds(text: Column, phrases: Iterable[str]) -> Column:
     """Whether a spaced text holds one of the phrases."""
     return reduce(lambda a, b: a | b, [text.contains(f" {p} ") for p in phrases])

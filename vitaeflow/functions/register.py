@@ -24,9 +24,9 @@ class ExtractEntities:
     """``kind, value`` of the e-mail addresses and links in a text."""
 
     def eval(self, text: str):
-        for kind, pattern in (("email", EMAIL), ("link", URL)):
+        for kind, pattern, group in (("email", EMAIL, 0), ("link", URL, 2)):
             for m in re.finditer(pattern, text or ""):
-                yield kind, m.group()
+                yield kind, m.group(group)
 
 
 def register(spark: SparkSession) -> None:

@@ -11,7 +11,7 @@ from vitaeflow.sources.scratch import cut_lineage
 
 
 def file_status(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, status, first_key``: failed where there is no text, duplicate where a smaller key has the same text, else analyzed.
+    """``key, status, first_key``: failed where there is no text, duplicate where a smaller key has the same text, else analyzed. ``first_key`` is its own key where it isn't a duplicate.
 
     A row fails by itself; no other row is touched. Only hashes are shuffled, combined per task before, so that a text with a third
     of all rows is one row a task. Repeated keys must be dropped before.
@@ -19,7 +19,7 @@ def file_status(df: DataFrame, key: str, text: str) -> DataFrame:
     h = df.select(F.col(key), F.when(F.trim(text) != "", F.sha2(text, 256)).alias("h"))
     first = cut_lineage(h.where("h is not null").groupBy("h").agg(F.min(key).alias("first_key"), F.count("*").alias("n")))
     read = join_lookup(h.where("h is not null"), first, ["h"], "n").select(key, F.when(F.col(key) == F.col("first_key"), "analyzed").otherwise("duplicate").alias("status"), "first_key")
-    return read.unionByName(h.where("h is null").select(key, F.lit("failed").alias("status"), F.lit(None).cast(read.schema["first_key"].dataType).alias("first_key")))
+    return read.unionByName(h.where("h is null").select(key, F.lit("failed").alias("status"), F.col(key).alias("first_key")))
 
 
 def status_counts(status: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vitaeflow.functions.dates import MONTHS, month_indexes
-from vitaeflow.functions.phrases import holds, spaced_text
+from vitaeflow.functions.phrases import bound, holds, spaced_text
 from vitaeflow.operators.profile import bucket_of, degree_of, merged_months
 
 # What stands between the two dates of a range, what opens a range without end, and words for an end still running.
@@ -69,7 +69,7 @@ def ranges_in(line: Column) -> Column:
 
 
 def _titled(text: Column) -> Column:
-    return holds(spaced_text(F.coalesce(text, F.lit(""))), TITLE_WORDS)
+    return bound(spaced_text(F.coalesce(text, F.lit(""))), lambda words: holds(words, TITLE_WORDS))
 
 
 def dated_lines(lines: DataFrame, key: str, running: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vitaeflow.functions.phrases import first_that, holds, spaced_text
+from vitaeflow.functions.phrases import bound, first_that, holds, spaced_text
 
 # Weights of the components in each preset.
 PRESETS = {
@@ -124,9 +124,9 @@ def heading_text(line: Column) -> Column:
 
 def heading_part(line: Column) -> Column:
     """The part that a heading line opens, else null. A line with a sign between its words that isn't a hyphen is no heading."""
-    words = heading_text(line)
     alone = ~F.regexp_replace(line, r"[(][^()]*[)]\s*:?\s*$|^[\s#*_`•-]+|[\s*_`:-]+$", "").rlike("[^\\p{L}\\p{N}'’ -]")
-    return F.when(alone, first_that([(words.isin(*REQUIRED_HEADINGS), F.lit("required")), (words.isin(*PREFERRED_HEADINGS), F.lit("preferred")), (words.isin(*OTHER_HEADINGS), F.lit("other"))]))
+    part = lambda words: first_that([(words.isin(*REQUIRED_HEADINGS), F.lit("required")), (words.isin(*PREFERRED_HEADINGS), F.lit("preferred")), (words.isin(*OTHER_HEADINGS), F.lit("other"))])
+    return F.when(alone, bound(heading_text(line), part))
 
 
 def clauses_of(line: Column) -> Column:
@@ -139,7 +139,7 @@ def clauses_of(line: Column) -> Column:
 
 def clause_part(clause: Column) -> Column:
     """By its own words: with neither kind it is required, with both preferred."""
-    return F.when(holds(spaced_text(clause), PREFERRED_WORDS), "preferred").otherwise("required")
+    return F.when(bound(spaced_text(clause), lambda text: holds(text, PREFERRED_WORDS)), "preferred").otherwise("required")
 
 
 def job_lines(lines: DataFrame, key: str) -> DataFrame:
@@ -168,5 +168,4 @@ FAMILIES = {
 
 
 def job_family(title_zone: Column) -> Column:
-    text = spaced_text(title_zone)
-    return first_that([(holds(text, words), F.lit(name)) for name, words in FAMILIES.items()])
+    return bound(spaced_text(title_zone), lambda text: first_that([(holds(text, words), F.lit(name)) for name, words in FAMILIES.items()]))

@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vitaeflow.functions.phrases import first_that, holds, spaced
+from vitaeflow.functions.phrases import bound, first_that, holds, spaced
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE = r"(?<![\w+])((?:\+|00)[1-9]\d{0,2}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|0\d{2,4}[ .-]?\d{3,4}[ .-]?\d{3,4})(?!\d)"
+#: What stands before a number or link that begins there, then the number: international with its sign or zeros, or national with a leading zero.
+PHONE = r"(^|[^0-9A-Za-z_+])((?:[+]|00)[1-9][0-9() .-]{6,20}[0-9]|0[0-9]{2,4}[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4})"
 # Endings by which a host without a scheme is known.
 HOST_ENDINGS = ("com", "org", "net", "io", "dev", "me", "ai", "co", "app", "tech", "info", "edu", "gov", "example", "test", "invalid")
 _REST = r"[^\s<>'\"()]"
 #: A link begins with a scheme, with www, or is a host of known ending, which isn't part of an address.
-URL = rf"(?i)(?<![@\w])(https?://{_REST}+|www\.{_REST}+|(?:[a-z0-9-]+\.)+(?:{'|'.join(HOST_ENDINGS)})\b(?:/{_REST}*)?)"
+URL = rf"(?i)(^|[^@0-9A-Za-z_])(https?://{_REST}+|www\.{_REST}+|(?:[a-z0-9-]+\.)+(?:{'|'.join(HOST_ENDINGS)})\b(?:/{_REST}*)?)"
 
 
 def emails(text: Column) -> Column:
@@ -29,13 +30,13 @@ def first_email(text: Column) -> Column:
 
 def first_phone(text: Column) -> Column:
     """The first number of 10 to 15 digits in a national or international form; no identity numbers or dates."""
-    found = F.filter(F.regexp_extract_all(text, F.lit(PHONE), 1), lambda x: F.length(F.regexp_replace(x, r"\D", "")).between(10, 15) & ~x.rlike(r"^\d{5}-?\d{7}-?\d$"))
+    found = F.filter(F.regexp_extract_all(text, F.lit(PHONE), 2), lambda x: F.length(F.regexp_replace(x, r"\D", "")).between(10, 15) & ~x.rlike(r"^\d{5}-?\d{7}-?\d$"))
     return F.try_element_at(found, F.lit(1))
 
 
 def links(text: Column) -> Column:
     """``struct<linkedin, github, other>``: the first link of each kind, without closing punctuation."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(URL), 1), lambda x: F.regexp_replace(x, r"[.,;:)>\]'\"]+$", ""))
+    found = F.transform(F.regexp_extract_all(text, F.lit(URL), 2), lambda x: F.regexp_replace(x, r"[.,;:)>\]'\"]+$", ""))
     kind = lambda cond: F.try_element_at(F.filter(found, cond), F.lit(1))
     in_li, in_gh = (lambda x: F.lower(x).contains("linkedin.com")), (lambda x: F.lower(x).contains("github.com"))
     return F.struct(kind(in_li).alias("linkedin"), kind(in_gh).alias("github"), kind(lambda x: ~in_li(x) & ~in_gh(x) & ~x.contains("@")).alias("other"))
@@ -93,15 +94,17 @@ def _short_degree(text: Column, level: str) -> Column:
 
 def degree_of(line: Column) -> Column:
     """The first level in the list that a line names, else null."""
-    text = _degree_text(line)
-    both = holds(text, ("bs / ms", "b.s. / m.s.", "b.s / m.s"))
-    return first_that([(holds(text, _degree_phrases(level)) | _short_degree(text, level) | (both if level == "Master's" else F.lit(False)), F.lit(level)) for level in DEGREE_RANKS])
+
+    def level_in(text: Column) -> Column:
+        both = holds(text, ("bs / ms", "b.s. / m.s.", "b.s / m.s"))
+        return first_that([(holds(text, _degree_phrases(level)) | _short_degree(text, level) | (both if level == "Master's" else F.lit(False)), F.lit(level)) for level in DEGREE_RANKS])
+
+    return bound(_degree_text(line), level_in)
 
 
 def degree_rank(degree: Column) -> Column:
     """5 (PhD) to 1 (High School), by the degree's name or an abbreviation in it; 0 where none."""
-    level = degree_of(degree)
-    ranked = first_that([(level == name, F.lit(rank)) for name, rank in DEGREE_RANKS.items()])
+    ranked = bound(degree_of(degree), lambda level: first_that([(level == name, F.lit(rank)) for name, rank in DEGREE_RANKS.items()]))
     return F.coalesce(ranked, F.when(F.lower(degree).startswith("associate"), 2), F.lit(0))
 
 
@@ -119,7 +122,7 @@ SKILL_HEADS = ("skill", "skills", "technical skills", "core skills", "key skills
 
 def _field_after(word: str) -> Column:
     """Capitalised words after a word, up to a sign or to 'from' or 'at'."""
-    tail = F.regexp_extract("line", rf"\b{word}\s+(?=[A-Z])([A-Za-z& ]+)", 1)
+    tail = F.regexp_extract("line", rf"\b{word}\s+([A-Z][A-Za-z& ]*)", 1)
     return F.nullif(F.trim(F.split(tail, r"\b(?:from|at)\b")[0]), F.lit(""))
 
 
@@ -239,12 +242,19 @@ IRREGULAR = {"built": "build", "led": "lead", "wrote": "write", "written": "writ
 def verb_of(word: Column) -> Column:
     """The verb of work whose form a lower-case word is, else null: endings are taken off, a doubled letter or a dropped 'e' or 'y' is put right."""
     irregular = F.create_map(*[F.lit(x) for kv in IRREGULAR.items() for x in kv])
+    return F.coalesce(F.try_element_at(irregular, word), bound(_stems(word), lambda stems: _known_verb(word, stems)))
+
+
+def _stems(word: Column) -> Column:
     stems = F.array(*[F.when(word.endswith(e), F.substr(word, F.lit(1), F.length(word) - len(e))) for e in ("s", "es", "d", "ed", "ing")])
-    stems = F.array_compact(stems)
+    return F.array_compact(stems)
+
+
+def _known_verb(word: Column, stems: Column) -> Column:
     twice = F.transform(F.filter(stems, lambda x: (F.length(x) > 2) & (F.right(x, F.lit(1)) == F.substr(x, F.length(x) - 1, F.lit(1)))), lambda x: F.substr(x, F.lit(1), F.length(x) - 1))
     soft = F.transform(F.filter(stems, lambda x: x.endswith("i")), lambda x: F.concat(F.substr(x, F.lit(1), F.length(x) - 1), F.lit("y")))
     known = F.filter(F.concat(F.array(word), stems, F.transform(stems, lambda x: F.concat(x, F.lit("e"))), twice, soft), lambda x: x.isin(*STRONG_VERBS))
-    return F.coalesce(F.try_element_at(irregular, word), F.try_element_at(known, F.lit(1)))
+    return F.try_element_at(known, F.lit(1))
 
 
 def first_words(text: Column) -> Column:
@@ -253,9 +263,12 @@ def first_words(text: Column) -> Column:
 
 def leading_verb(text: Column) -> Column:
     """The verb of work that a line begins with, also after an adverb; else null."""
-    w = first_words(text)
-    first, second = F.get(w, F.lit(0)), F.get(w, F.lit(1))
-    return F.coalesce(verb_of(F.coalesce(first, F.lit(""))), F.when(first.endswith("ly"), verb_of(F.coalesce(second, F.lit("")))))
+
+    def leading(w: Column) -> Column:
+        first, second = F.get(w, F.lit(0)), F.get(w, F.lit(1))
+        return F.coalesce(verb_of(F.coalesce(first, F.lit(""))), F.when(first.endswith("ly"), verb_of(F.coalesce(second, F.lit("")))))
+
+    return bound(first_words(text), leading)
 
 
 def metrics_in(text: Column) -> Column:
@@ -299,7 +312,7 @@ def strongest_evidence(mentions: DataFrame, lines: DataFrame, key: str) -> DataF
 
 
 # The placeholders of each type, in the order in which types are replaced.
-PLACEHOLDERS = (("email", EMAIL, "[EMAIL]"), ("phone", PHONE, "[PHONE]"), ("link", URL, "[LINK]"))
+PLACEHOLDERS = (("email", EMAIL, "[EMAIL]"), ("phone", PHONE, "$1[PHONE]"), ("link", URL, "$1[LINK]"))
 # Gendered pronouns and their neutral forms, and verbs that change after 'they'.
 PRONOUNS = {"he": "they", "she": "they", "him": "them", "his": "their", "hers": "theirs", "himself": "themselves", "herself": "themselves"}
 AGREEMENT = {"is": "are", "was": "were", "has": "have", "does": "do", "isn't": "aren't", "wasn't": "weren't", "hasn't": "haven't", "doesn't": "don't"}
@@ -355,9 +368,9 @@ def redaction_audit(lines: DataFrame, key: str) -> DataFrame:
 
 def residual_flags(lines: DataFrame, key: str) -> DataFrame:
     """``key, line_no, type, match``: personal data that is still in a redacted text."""
-    hit = lambda name, pattern, cond=F.lit(True): F.when(cond & F.col("line").rlike(pattern), F.struct(F.lit(name).alias("type"), F.regexp_extract("line", f"({pattern})", 1).alias("match")))
+    hit = lambda name, pattern, cond=F.lit(True), at=1: F.when(cond & F.col("line").rlike(pattern), F.struct(F.lit(name).alias("type"), F.regexp_extract("line", f"({pattern})", at).alias("match")))
     flags = F.array_compact(F.array(
-        hit("email", EMAIL), hit("phone", PHONE.replace("((?:", "(?:(?:").replace("{3,4})(?!", "{3,4})(?!")), hit("url", r"https?://\S+|www\.\S+"),
+        hit("email", EMAIL), hit("phone", PHONE, at=3), hit("url", r"https?://\S+|www\.\S+"),
         hit("year", r"\b(?:19|20)\d{2}\b", degree_of(F.col("line")).isNotNull()), hit("pronoun", r"\b(?:[Hh]e|[Ss]he|[Hh]is|[Hh]er|[Hh]im)\b"),
         hit("name", r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", F.col("line_no") <= 5),
     ))

@@ -106,7 +106,7 @@ def _sweep_sql(w: float) -> str:
 
 
 SQL = {
-    "bulk_status": "WITH r AS (SELECT request_id, any_value(resume_text) AS t FROM role_recommend_request WHERE request_id IS NOT NULL GROUP BY 1) SELECT request_id, CASE WHEN t IS NULL OR trim(t) = '' THEN 'failed' WHEN request_id = min(request_id) OVER (PARTITION BY t) THEN 'analyzed' ELSE 'duplicate' END AS status, CASE WHEN t IS NOT NULL AND trim(t) <> '' THEN min(request_id) OVER (PARTITION BY t) END AS first_id FROM r",
+    "bulk_status": "WITH r AS (SELECT request_id, any_value(resume_text) AS t FROM role_recommend_request WHERE request_id IS NOT NULL GROUP BY 1) SELECT request_id, CASE WHEN t IS NULL OR trim(t) = '' THEN 'failed' WHEN request_id = min(request_id) OVER (PARTITION BY t) THEN 'analyzed' ELSE 'duplicate' END AS status, CASE WHEN t IS NOT NULL AND trim(t) <> '' THEN min(request_id) OVER (PARTITION BY t) ELSE request_id END AS first_id FROM r",
     "recency_sweep": f"WITH {_RAT}, f AS (SELECT rater2 / 100 AS a, rater3 / 100 AS b, rater4 / 100 AS c, rater2 / 100 AS e, rater1 AS h FROM r WHERE rater1 IS NOT NULL AND rater2 IS NOT NULL AND rater3 IS NOT NULL AND rater4 IS NOT NULL), v AS ("
     + " UNION ALL ".join(map(_sweep_sql, RECENCY_WEIGHTS))
     + "), k AS (SELECT *, rank() OVER (PARTITION BY w ORDER BY p) + (count(*) OVER (PARTITION BY w, p) - 1) / 2.0 AS x, rank() OVER (PARTITION BY w ORDER BY h) + (count(*) OVER (PARTITION BY w, h) - 1) / 2.0 AS y FROM v) "

@@ -13,15 +13,15 @@ from vitaeflow.sources.tables import read_table
 RUNNING = 2026 * 12 + 9 - 1
 
 
-def dated_entries(df: DataFrame, running: int = RUNNING) -> DataFrame:
-    """``resume_id, s, e`` (month indexes) of every entry; ``date_interval`` first, else the two strings."""
+def dated_entries(df: DataFrame, running: int = RUNNING, kept: tuple[str, ...] = ()) -> DataFrame:
+    """``resume_id, *kept, s, e`` (month indexes) of every entry; ``date_interval`` first, else the two strings."""
     i = F.col("date_interval")
     whole = i.isNotNull() & i.start_year.isNotNull() & i.start_month.between(1, 12) & i.end_year.isNotNull() & i.end_month.between(1, 12)
     p = F.when(whole, F.array(i.start_year * 12 + i.start_month - 1, i.end_year * 12 + i.end_month - 1)).otherwise(
         written_period(F.col("start_date_str"), F.col("end_date_str"), running)
     )
     # As a generated row the pair is computed once; filters on it aren't pushed below, where they'd repeat it.
-    return df.select("resume_id", F.inline(F.array(F.struct(p.alias("p")))).alias("p")).select("resume_id", F.col("p")[0].alias("s"), F.col("p")[1].alias("e"))
+    return df.select("resume_id", *kept, F.inline(F.array(F.struct(p.alias("p")))).alias("p")).select("resume_id", *kept, F.col("p")[0].alias("s"), F.col("p")[1].alias("e"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
