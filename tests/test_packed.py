@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from vitaeflow.operators.packed import CodeBook, candidate_parses, cheapest_parse, fit_code_book, split_packed
@@ -39,3 +41,22 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "id int, cell string")
     book = fit_code_book(df, "cell")
     assert book.total == 0 and split_packed(df, "cell", "items", book).count() == 0
+
+
+def test_unrelated_cells_change_nothing(spark):
+    rng = random.Random(6)
+    names = ["unit testing", "code review", "audit & controls", "key/value stores", "tables, views and joins", "backup and restore", "ferrolang", "mentoring", "tandem basic", "edge caching"]
+    quoted = lambda v: f'"{v}"' if "," in v else v
+    cells = [rng.choice([";", ", ", " | ", "\n"]).join(quoted(v) for v in rng.sample(names, rng.randrange(2, 6))) for _ in range(300)]
+    other = ["; ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(4)) for _ in range(3000)]
+    frame = lambda rows: spark.createDataFrame([(c,) for c in rows], "cell string")
+    split = lambda book: [cheapest_parse(c, book)[1] for c in cells]
+    alone, grown = fit_code_book(frame(cells), "cell"), fit_code_book(frame(cells + other), "cell")
+    assert split(alone) == split(grown)
+    assert all(set(values) <= set(names) for values in split(alone))
+
+
+def test_compounds_are_found_by_their_segments():
+    book = CodeBook({k: 100 for k in ("key/value stores", "audit & controls")}, 300)
+    near = lambda v: bool(list(book._near(v)))
+    assert near("key/valeu stores") and near("controls & audit") and near("ky/value storess basic") and not near("unit/testing") and not near("x" * 50_000)

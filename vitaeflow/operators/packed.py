@@ -13,6 +13,7 @@ import ast
 import json
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,11 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries of a code book, most frequent first: bounds what is sent to the driver and the tasks. Rarer values are spelled.
-BOOK_SIZE = 100_000
+from vitaeflow.sources.scratch import cut_lineage
+
+#: Bits of the longest codes of a book: values with a smaller share of all values are spelled. There can be no more than 2 ** 20 entries,
+#: which bounds what is sent to the driver and the tasks, whatever the table's size.
+BOOK_BITS = 20
 #: Entries with a separator inside are also recognised with small edits if their code has at most so many bits
-#: (there can be no more than 2 ** 13 of them) and they aren't such a variant of a more frequent one.
+#: (by their share there can be no more than 2 ** 13 of them) and they aren't such a variant of a more frequent one.
 COMPOUND_BITS = 13
+#: Values whose bits a task remembers; bounds memory only.
+MEMO = 200_000
 #: A separator inside a spelled value is rarer than a letter.
 LETTER_BITS, SEPARATOR_BITS, VALUE_BITS, EDIT_BITS = 4.7, 10.0, 4.0, 9.0
 
@@ -132,10 +138,18 @@ class CodeBook:
 
     def __post_init__(self) -> None:
         self.compounds, self._words, self._bits = [], [], {}
+        self._segments, self._sizes, self._by_words = defaultdict(list), set(), defaultdict(list)
         for k in self.counts:  # most frequent first
             if _INNER.search(k) and self.code(k) <= COMPOUND_BITS and not any(True for _ in self._near(k)):
+                at, parts = len(self.compounds), _edits_of(k) + 1
                 self.compounds.append(k)
                 self._words.append(frozenset(re.findall(r"[^\W_]{3,}", k)))
+                self._by_words[_bag(k)].append(at)
+                # Of so many segments one must stand in a text unchanged that holds the entry with its edits.
+                for i in range(parts):
+                    seg = k[i * len(k) // parts : (i + 1) * len(k) // parts]
+                    self._segments[seg].append(at)
+                    self._sizes.add(len(seg))
 
     def code(self, key: str) -> float:
         return -math.log2((self.counts[key] + 0.5) / (self.total + 1))
@@ -149,24 +163,41 @@ class CodeBook:
                 b = min(b, self.code(key) + b / self.counts[key])  # its share of spelling the entry once
             elif _INNER.search(key):
                 b = min([b, *self._near(key)])
-            if len(self._bits) < BOOK_SIZE:
+            if len(self._bits) < MEMO:
                 self._bits[value] = b
         return b
 
     def _near(self, key: str) -> Iterator[float]:
-        """Costs of the value as a compound entry with edits and letters added; they share a word or have close lengths."""
+        """Costs of the value as a compound entry with edits and letters added; they share a word or have close lengths.
+
+        Entries are found by a segment that the value holds, or by having the same words."""
         words = frozenset(re.findall(r"[^\W_]{3,}", key))
-        for name, own in zip(self.compounds, self._words):
+        if len(key) <= max(map(len, self.compounds), default=0) + 60:
+            held = {key[i : i + n] for n in self._sizes for i in range(len(key) - n + 1)}
+            found = {at for seg in held & self._segments.keys() for at in self._segments[seg]}
+        else:
+            found = set()
+        same = set(self._by_words.get(_bag(key), ()))
+        for at in sorted(found | same):
+            name, own = self.compounds[at], self._words[at]
             if len(key) > len(name) + 60:  # so much more to spell that the entry inside hardly shortens it
                 continue
             if words & own or abs(len(key) - len(name)) <= 3:
                 edits = _within(name, key)
-                if edits <= max(1, len(name) // 5):
+                if edits <= _edits_of(name):
                     yield self.code(name) + EDIT_BITS * edits + LETTER_BITS * max(0, len(key) - len(name))
-                elif sorted(re.findall(r"\w+|&", name)) == sorted(re.findall(r"\w+|&", key)):
+                elif at in same:
                     yield self.code(name) + EDIT_BITS
 
 
+def _edits_of(name: str) -> int:
+    return max(1, len(name) // 5)
+
+
+def _bag(name: str) -> tuple:
+    return tuple(sorted(re.findall(r"\w+|&", name)))
+
+
 def _within(needle: str, text: str) -> int:
     """Smallest edit distance between the needle and a stretch of the text."""
     row = [0] * (len(text) + 1)
@@ -219,14 +250,15 @@ def _values_of(column: str, book: CodeBook | None):
 
 
 def fit_code_book(df: DataFrame, column: str, rounds: int = 2) -> CodeBook:
-    """Value counts over all cells; each round is one pass with a combined count, of which the driver
-    receives the ``BOOK_SIZE`` most frequent values that occur twice or more, and the total."""
+    """Value counts over all cells; each round is one pass with a combined count, of which the driver receives the total and the values whose
+    codes have at most ``BOOK_BITS`` bits. A value that occurs once costs its spelling in either way and is left out."""
     cells, book = df.select(F.col(column).alias("cell")), None
     for _ in range(rounds):
         counts = cells.mapInArrow(_values_of("cell", book), "value string").groupBy("value").count().where("count > 1")
-        rows = counts.orderBy(F.col("value").isNull().desc(), F.desc("count"), "value").limit(BOOK_SIZE + 1).collect()
-        total = next((r["count"] for r in rows if r["value"] is None), 0)
-        book = CodeBook({r["value"]: r["count"] for r in rows if r["value"] is not None}, total)
+        counts = cut_lineage(counts)
+        total = counts.where("value is null").agg(F.sum("count")).first()[0] or 0
+        rows = counts.where(F.col("value").isNotNull() & (F.col("count") * (1 << BOOK_BITS) >= total)).orderBy(F.desc("count"), "value").collect()
+        book = CodeBook({r["value"]: r["count"] for r in rows}, total)
     return book
 
 
@@ -238,10 +270,11 @@ def split_packed(df: DataFrame, column: str, into: str, book: CodeBook) -> DataF
     """
     df = df.drop(into)
     at = df.columns.index(column)
+    shared = df.sparkSession.sparkContext.broadcast(book)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [None if t is None else cheapest_parse(t, book)[1] for t in batch.column(at).to_pylist()]
+            out = [None if t is None else cheapest_parse(t, shared.value)[1] for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.string()))], [*batch.schema.names, into])
 
     schema = T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.StringType()))])
