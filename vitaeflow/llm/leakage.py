@@ -32,6 +32,8 @@ TABLES, STEPS, SAMPLED = 48, 26, 8
 INDEX_WORDS = 2_000_000
 #: Bits of the filter of item word pairs in that case; a fuller filter lets more windows through and loses none.
 FILTER_BITS, FILTER_BLOCKS = 1 << 27, 256
+#: Slots of the table of item word pairs in the index; pairs that share a slot only let more windows through.
+PAIR_SLOTS = 1 << 24
 _SEED = 20240607
 
 _WORD = re.compile(r"[^\W_]+")
@@ -63,6 +65,7 @@ class Index:
     bits: np.ndarray
     keys: list[np.ndarray]
     windows: list[np.ndarray]
+    pairs: np.ndarray
 
 
 _WALK = np.random.default_rng(_SEED)
@@ -120,7 +123,19 @@ def build_index(items: list[tuple[int, str | None]]) -> Index:
         order = np.argsort(k, kind="stable")
         keys.append(k[order])
         windows.append(starts[order])
-    return Index(vocabulary, symbols, flat, item_of, first, last, bits, keys, windows)
+    pairs = np.zeros(PAIR_SLOTS, bool)
+    pairs[_pair_slots(flat)] = True
+    return Index(vocabulary, symbols, flat, item_of, first, last, bits, keys, windows, pairs)
+
+
+def _pair_slots(words: np.ndarray) -> np.ndarray:
+    return (words[:-1] * 1_000_003 + words[1:]) % PAIR_SLOTS
+
+
+def _enough_pairs(words: np.ndarray, starts: np.ndarray, x: Index) -> np.ndarray:
+    """Where so many of the pairs of neighbours in a window are pairs of items that the allowed edits can have broken the others; an edit breaks two."""
+    known = np.concatenate(([0], np.cumsum(x.pairs[_pair_slots(words)] & (words[:-1] > 0) & (words[1:] > 0))))
+    return known[starts + STRETCH - 1] - known[starts] >= STRETCH - 1 - 2 * ((STRETCH + 1) // WORDS_PER_EDIT)
 
 
 def _enough(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -132,12 +147,13 @@ def _enough(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def candidates(words: np.ndarray, x: Index) -> tuple[np.ndarray, np.ndarray]:
     """(corpus positions, item positions) of windows that agree in some repetition.
 
-    Only windows whose number of words known from items leaves room for the allowed edits are embedded.
+    Only windows whose numbers of words and of pairs known from items leave room for the allowed edits are embedded.
     """
     if len(words) <= STEPS or not len(x.first):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     starts = np.arange(len(words) - STEPS)
     starts = starts[_enough(words, starts) & (words[starts] > 0)]
+    starts = starts[_enough_pairs(words, starts, x)]
     found = []
     for r in range(TABLES):
         k = _walk(words, starts, x.bits[r], r, x.symbols)
