@@ -130,11 +130,12 @@ def test_groups_and_similar_rows(spark):
     assert {(r["a"], r["b"]) for r in V.similar_rows(rows, "id", "t", 0.95).collect()} == {(1, 2), (1, 3)}
 
 
-def test_nearest_in_blocks(spark):
+def test_nearest_in_blocks(spark, monkeypatch):
     rows = [(i, [float(math.cos(i)), float(math.sin(i)), float(i % 5)]) for i in range(60)]
     df = spark.createDataFrame(rows, "id int, v array<double>")
     a = {tuple(r) for r in V.nearest(df.where("id % 7 = 0"), df, "id", "v", 3).collect()}
-    b = {tuple(r) for r in V.nearest(df.where("id % 7 = 0"), df, "id", "v", 3, block=2).collect()}
+    monkeypatch.setattr(V, "QUERY_BLOCK", 2)
+    b = {tuple(r) for r in V.nearest(df.where("id % 7 = 0"), df, "id", "v", 3).collect()}
     assert a == b and len(a) == 27
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,21 +63,59 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 
-def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block: int = 512) -> DataFrame:
+#: Queries whose vectors are sent to the tasks at once, and those multiplied with a batch of rows at once.
+QUERY_BLOCK, QUERY_CHUNK = 50_000, 1024
+
+
+def _unit_rows(vectors: list) -> np.ndarray:
+    m = np.array(vectors, np.float64)
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def _first_of_each(q: np.ndarray, score: np.ndarray, key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query: by score, ties by key."""
+    order = np.lexsort((key, -score, q))
+    q, score, key = q[order], score[order], key[order]
+    starts = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.empty(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+    return q[place < k], score[place < k], key[place < k]
+
+
+def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """``key, neighbour, cosine, rank``: exact search of a stated query set against all rows, in blocks.
 
-    The queries are split in blocks of bounded size that go to every row. The filter on ``row_number`` lets Spark keep
-    the k best of each query in a task before the shuffle (WindowGroupLimit), so that no task sees all pairs of a query.
+    ``QUERY_BLOCK`` queries at a time go to the tasks; each multiplies them with its batches of rows and keeps the k best of every query, which
+    alone are shuffled. A query isn't its own neighbour; null keys and vectors are left out; a zero vector has cosine 0 with all.
     """
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v)))
-    q = queries.select(F.col(key).alias("q"), unit(F.col(vector)).alias("qv"))
-    r = rows.select(F.col(key).alias("neighbour"), unit(F.col(vector)).alias("rv"))
-    n = q.count()
-    out = None
-    for b in range(max(1, -(-n // block))):
-        part = F.broadcast(q.where(F.pmod(F.xxhash64("q"), F.lit(max(1, -(-n // block)))) == b))
-        pairs = part.join(r, F.col("q") != F.col("neighbour"), "inner").select("q", "neighbour", F.round(dot(F.col("qv"), F.col("rv")), 6).alias("cosine"))
-        out = pairs if out is None else out.unionByName(pairs)
+    kind = rows.schema[key].dataType.simpleString()
+    filled = lambda d: d.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    q, r, out = filled(queries), filled(rows), None
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    for b in range(blocks):
+        part = q.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).collect()  # about QUERY_BLOCK rows
+        shared = rows.sparkSession.sparkContext.broadcast(([x["key"] for x in part], _unit_rows([x["v"] for x in part]) if part else np.zeros((0, 1))))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            asked, units = shared.value
+            names, best, kept = np.array(asked), {}, None
+            for batch in batches:
+                if not batch.num_rows or not len(asked):
+                    continue
+                kept = batch.schema.field(0).type
+                own, m = np.array(batch.column(0).to_pylist()), _unit_rows(batch.column(1).to_pylist())
+                for c in range(0, len(asked), QUERY_CHUNK):
+                    score = np.round(units[c : c + QUERY_CHUNK] @ m.T, 6)
+                    score[names[c : c + QUERY_CHUNK, None] == own[None, :]] = -np.inf
+                    least = np.partition(score, -min(k, len(own)), axis=1)[:, -min(k, len(own))]
+                    i, j = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+                    new = (i, score[i, j], own[j])
+                    best[c] = _first_of_each(*(map(np.concatenate, zip(best[c], new)) if c in best else new), k)
+            for c, (i, score, found) in best.items():
+                yield pa.RecordBatch.from_arrays([pa.array(names[c + i].tolist(), kept), pa.array(found.tolist(), kept), pa.array(score)], ["q", "neighbour", "cosine"])
+
+        hits = r.mapInArrow(run, f"q {kind}, neighbour {kind}, cosine double")
+        out = hits if out is None else out.unionByName(hits)
     w = Window.partitionBy("q").orderBy(F.desc("cosine"), "neighbour")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(key), "neighbour", "cosine", "rank")
 
