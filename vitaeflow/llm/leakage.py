@@ -32,8 +32,6 @@ TABLES, STEPS, SAMPLED = 48, 26, 8
 INDEX_WORDS = 2_000_000
 #: Bits of the filter of item word pairs in that case; a fuller filter lets more windows through and loses none.
 FILTER_BITS, FILTER_BLOCKS = 1 << 27, 256
-#: Slots of the table of item word pairs in the index; pairs that share a slot only let more windows through.
-PAIR_SLOTS = 1 << 24
 _SEED = 20240607
 
 _WORD = re.compile(r"[^\W_]+")
@@ -116,25 +114,26 @@ def build_index(items: list[tuple[int, str | None]]) -> Index:
     flat, item_of = np.array(words, np.int64), np.array(owner, np.int64)
     starts = np.concatenate([np.arange(first[i], last[i] - STRETCH + 1) for i in first]) if first else np.empty(0, np.int64)
     symbols = np.concatenate([np.zeros(1, np.uint64), word_hashes(list(vocabulary))])
-    bits = np.array([[_step_bits(symbols, r, t) for t in range(STEPS)] for r in range(TABLES)])
+    bits = np.array([[_step_bits(symbols, r, t) for t in range(STEPS)] for r in range(TABLES)], np.int8)
     keys, windows = [], []
     for r in range(TABLES):
         k = _walk(flat, starts, bits[r], r, symbols)
         order = np.argsort(k, kind="stable")
         keys.append(k[order])
         windows.append(starts[order])
-    pairs = np.zeros(PAIR_SLOTS, bool)
-    pairs[_pair_slots(flat)] = True
+    pairs = np.zeros(1 << min(26, int(64 * len(flat)).bit_length()), bool)
+    pairs[_pair_slots(flat, len(pairs))] = True
     return Index(vocabulary, symbols, flat, item_of, first, last, bits, keys, windows, pairs)
 
 
-def _pair_slots(words: np.ndarray) -> np.ndarray:
-    return (words[:-1] * 1_000_003 + words[1:]) % PAIR_SLOTS
+def _pair_slots(words: np.ndarray, slots: int) -> np.ndarray:
+    """A slot for each pair of neighbours; pairs that share one only let more windows through."""
+    return (words[:-1] * 1_000_003 + words[1:]) % slots
 
 
 def _enough_pairs(words: np.ndarray, starts: np.ndarray, x: Index) -> np.ndarray:
     """Where so many of the pairs of neighbours in a window are pairs of items that the allowed edits can have broken the others; an edit breaks two."""
-    known = np.concatenate(([0], np.cumsum(x.pairs[_pair_slots(words)] & (words[:-1] > 0) & (words[1:] > 0))))
+    known = np.concatenate(([0], np.cumsum(x.pairs[_pair_slots(words, len(x.pairs))] & (words[:-1] > 0) & (words[1:] > 0))))
     return known[starts + STRETCH - 1] - known[starts] >= STRETCH - 1 - 2 * ((STRETCH + 1) // WORDS_PER_EDIT)
 
 
