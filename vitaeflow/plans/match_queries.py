@@ -231,4 +231,7 @@ SELECT a, b, cosine FROM (SELECT p.k AS a, q.k AS b, round(sum(p.w * q.w), 6) AS
     "job_requirements": _JOB + " SELECT job_id, array_to_string(required, ';') AS required, array_to_string(preferred, ';') AS preferred FROM jobs UNION ALL SELECT doc_id, '', '' FROM (SELECT DISTINCT doc_id FROM cment WHERE doc_id IN (FROM ads) AND doc_id NOT IN (SELECT job_id FROM jobs))",
 }
 
+SQL["near_dup_groups"] = f"""WITH RECURSIVE links AS ({SQL["near_dup_edges"]}), ends AS (SELECT a AS u, b AS v FROM links UNION SELECT b, a FROM links), nodes AS (SELECT DISTINCT entry_id AS k FROM education_entry WHERE entry_id IS NOT NULL AND raw IS NOT NULL),
+reached AS (SELECT k AS u, k AS v FROM nodes UNION SELECT reached.u, ends.v FROM reached JOIN ends ON reached.v = ends.u) SELECT u AS entry_id, min(v) AS group_id FROM reached GROUP BY 1"""
+
 QUERIES = {f.__name__: f for f in (job_parts, job_families, job_requirements, skill_gap, coverage_plain, coverage_adjusted, recency_group_score, rank_topn, score_all_modes, exact_dedup, near_dup_edges, near_dup_groups, tfidf_pair_cosine, semantic_normalized, application_sentences, application_semantic, embed_best_match, embed_meanpool, term_suggestions)}

@@ -125,6 +125,11 @@ SELECT doc_id, clean, CASE WHEN length(clean) > 120 THEN left(clean, 120) || '..
 h AS (SELECT doc_id, line_no, regexp_replace(lower(line), ':.*$', '') AS h FROM lines WHERE line <> ''),
 o AS (SELECT doc_id, line_no, CASE {' '.join(f"WHEN h IN ({', '.join(repr(x) for x in xs)}) THEN '{n}'" for n, xs in X.SECTIONS.items())} END AS own FROM h)
 SELECT doc_id, line_no, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'head') AS section, own IS NOT NULL AS is_heading FROM o""",
+    "file_names": r"""WITH f AS (SELECT request_id, min(resume_file) AS f FROM anonymize_request GROUP BY 1),
+a AS (SELECT request_id, regexp_replace(regexp_replace(regexp_replace(f, '^.*[/\\]', ''), '\.[A-Za-z0-9]{1,5}$', ''), '\s*(?:\(\d+\)|\[\d+\]|\{\d+\})', '', 'g') AS s FROM f),
+b AS (SELECT request_id, string_split_regex(regexp_replace(regexp_replace(s, '([a-z])([A-Z])', '\1 \2', 'g'), '[_\-.+]+', ' ', 'g'), '\s+') AS w FROM a),
+c AS (SELECT request_id, array_to_string(list_filter(w, lambda x: x <> '' AND NOT regexp_matches(x, '^\d+$') AND lower(x) NOT IN ('resume', 'cv', 'curriculum', 'vitae', 'final', 'updated', 'new', 'copy', 'request')), ' ') AS n FROM b)
+SELECT request_id, nullif(array_to_string(list_transform(regexp_extract_all(n, '[A-Za-z]+|[^A-Za-z]+'), lambda x: upper(left(x, 1)) || lower(substring(x, 2))), ''), '') AS candidate_name FROM c""",
     "skill_match": rf"""WITH {_DOCS}, {_LINES}, {_TOKENS},
 m AS (SELECT g.doc_id, t.skill, t.category, g.line_no, g.pos FROM grams g JOIN tax t USING (surface))
 SELECT doc_id, skill, min(category) AS category, arg_min(line_no, line_no * 100000 + pos) AS line_no, arg_min(pos, line_no * 100000 + pos) AS pos FROM m GROUP BY 1, 2""",
