@@ -1,4 +1,4 @@
-"""One row per key for wide rows, without shuffling them."""
+"""One row per key for wide rows, without a shuffle by key."""
 
 from __future__ import annotations
 
@@ -27,4 +27,7 @@ def one_per_key(df: DataFrame, key: str) -> DataFrame:
     seen = placed.select(F.col(key).alias("__key"), F.struct("__file", "__row").alias("at")).groupBy("__key").agg(F.count("*").alias("n"), F.min("at").alias("at"))
     again = cut_lineage(seen.where("n > 1").select("__key", F.col("at.__file").alias("__kf"), F.col("at.__row").alias("__kr")))
     kept = placed.join(broadcaster(again)(again), placed[key].eqNullSafe(again["__key"]), "left")
-    return kept.where("__kr is null or (__kf = __file and __kr = __row)").select(*df.columns)
+    kept = kept.where("__kr is null or (__kf = __file and __kr = __row)").select(*df.columns)
+    # A table of few files would be worked on by few tasks; only then its rows are spread over the cores.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return kept if df._jdf.rdd().getNumPartitions() >= cores else kept.repartition(cores)
