@@ -10,11 +10,10 @@ from pyspark.ml.feature import IDF, HashingTF, Normalizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vitaeflow.operators.metrics import fold_of
 from vitaeflow.operators.similarity import terms
-from vitaeflow.sources.scratch import cut_lineage
+from vitaeflow.sources.scratch import cut_lineage, is_small
 
 #: Rows a model is fitted on, drawn by a hash of the key; documented bound of training, not of prediction.
 SAMPLE = 50_000
@@ -30,7 +29,10 @@ def prepared(df: DataFrame, text: str, label: str | None = None) -> DataFrame:
 
 def train_roles(df: DataFrame, key: str, text: str, label: str, features: int = 1 << 14, c: float = 10.0) -> PipelineModel:
     """Hashed TF-IDF, unit length, logistic regression with weights that balance the classes."""
-    data = prepared(df.where(F.col(label).isNotNull() & F.col(text).isNotNull()), text, label).orderBy(F.xxhash64(key)).limit(SAMPLE)
+    known = df.where(F.col(label).isNotNull() & F.col(text).isNotNull())
+    if not is_small(known, SAMPLE):  # keys alone are sorted; at most SAMPLE of them are broadcast
+        known = known.join(F.broadcast(cut_lineage(known.select(key).orderBy(F.xxhash64(key)).limit(SAMPLE))), key, "left_semi")
+    data = prepared(known, text, label)
     sizes = data.groupBy("label_text").agg(F.count("*").alias("size"))
     total = sizes.agg(F.sum("size").alias("all"), F.count("*").alias("classes"))
     data = data.join(F.broadcast(sizes), "label_text").crossJoin(F.broadcast(total)).withColumn("weight", F.col("all") / (F.col("classes") * F.col("size")))  # a row per class, one row
@@ -43,15 +45,15 @@ def train_roles(df: DataFrame, key: str, text: str, label: str, features: int =
 
 
 def top_roles(model: PipelineModel, df: DataFrame, key: str, text: str, k: int = 4) -> DataFrame:
-    """``key, rank, role, probability`` (percent, two places): the k most probable roles, ties by name."""
+    """``key, rank, role, probability`` (percent, two places): the k most probable roles, ties by name. Sorted within each row, each key once; nothing is shuffled."""
     if k < 1:
         raise ValueError("k must be at least 1.")
     labels = model.stages[0].labels
     rest = PipelineModel(model.stages[1:])
-    p = rest.transform(prepared(df, text)).select(F.col(key), F.posexplode(vector_to_array("probability")).alias("i", "p"))
-    p = p.withColumn("role", F.element_at(F.array(*map(F.lit, labels)), F.col("i") + 1))
-    w = Window.partitionBy(key).orderBy(F.desc("p"), "role")
-    return p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(key, "rank", "role", F.round(F.col("p") * 100, 2).alias("probability"))
+    names = F.array(*map(F.lit, labels))
+    each = F.transform(vector_to_array("probability"), lambda p, i: F.struct((-p).alias("minus"), F.element_at(names, i + 1).alias("role")))
+    best = rest.transform(prepared(df, text)).select(F.col(key), F.posexplode(F.slice(F.array_sort(each), 1, k)).alias("i", "r"))
+    return best.select(key, (F.col("i") + 1).alias("rank"), "r.role", F.round(-F.col("r.minus") * 100, 2).alias("probability"))
 
 
 def held_out(df: DataFrame, key: str, text: str, label: str, fold: int = 0) -> DataFrame:

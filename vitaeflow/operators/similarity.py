@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vitaeflow.functions.phrases import bound
 from vitaeflow.sources.scratch import cut_lineage
 
 # English words that say nothing about a topic.
@@ -21,8 +22,12 @@ def terms(text: Column, pairs: bool = True) -> Column:
     w = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9][a-z0-9+#]+)"), 1), lambda x: ~x.isin(*STOP_WORDS))
     if not pairs:
         return w
-    two = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(w, i, 2)))
-    return F.when(F.size(w) > 1, F.concat(w, two)).otherwise(w)
+
+    def with_pairs(words: Column) -> Column:
+        two = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(words, i, 2)))
+        return F.when(F.size(words) > 1, F.concat(words, two)).otherwise(words)
+
+    return bound(w, with_pairs)
 
 
 def tfidf_weights(chunks: DataFrame, group: list[str], item: str, text: str, pairs: bool = True) -> DataFrame:

@@ -29,7 +29,7 @@ def request_hashes(spark, d):
 
 def _titled(spark, d):
     e = read_table(spark, d, "documents").where("doc_kind is not null and text is not null")
-    return e.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("doc_kind").alias("kind"))
+    return one_per_key(e.select("doc_id", "text", F.col("doc_kind").alias("kind")), "doc_id")
 
 
 def role_topk(spark, d):
