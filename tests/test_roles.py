@@ -20,3 +20,12 @@ def test_training_draws_the_same_keys_as_a_sort_of_all_rows(spark, monkeypatch):
     monkeypatch.setattr(roles, "prepared", lambda d, *a: drawn.append(d) or fit(d, *a))
     roles.train_roles(df, "id", "t", "role", features=64)
     assert {r["id"] for r in drawn[0].collect()} == {r["id"] for r in df.orderBy(F.xxhash64("id")).limit(10).collect()}
+
+
+def test_training_takes_every_row(spark, monkeypatch):
+    drawn = []
+    fit = roles.prepared
+    monkeypatch.setattr(roles, "prepared", lambda d, *a: drawn.append(d) or fit(d, *a))
+    df = spark.range(50_020).selectExpr("id", "if(id % 2 = 0, 'oven soup', 'plane runway') as t", "if(id % 2 = 0, 'cook', 'pilot') as role")
+    roles.train_roles(df, "id", "t", "role", features=16)
+    assert drawn[0].count() == 50_020

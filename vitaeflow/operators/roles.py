@@ -15,8 +15,8 @@ from vitaeflow.operators.metrics import fold_of
 from vitaeflow.operators.similarity import terms
 from vitaeflow.sources.scratch import cut_lineage, is_small
 
-#: Rows a model is fitted on, drawn by a hash of the key; documented bound of training, not of prediction.
-SAMPLE = 50_000
+#: Rows a model is fitted on, drawn by a hash of the key, where someone sets a bound; none is set, a model is fitted on all rows.
+SAMPLE: int | None = None
 #: A text whose best role is less probable is uncertain.
 UNCERTAIN = 0.35
 
@@ -30,13 +30,14 @@ def prepared(df: DataFrame, text: str, label: str | None = None) -> DataFrame:
 def train_roles(df: DataFrame, key: str, text: str, label: str, features: int = 1 << 14, c: float = 10.0) -> PipelineModel:
     """Hashed TF-IDF, unit length, logistic regression with weights that balance the classes."""
     known = df.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    if not is_small(known, SAMPLE):  # keys alone are sorted; at most SAMPLE of them are broadcast
+    if SAMPLE is not None and not is_small(known, SAMPLE):  # keys alone are sorted; at most SAMPLE of them are broadcast
         known = known.join(F.broadcast(cut_lineage(known.select(key).orderBy(F.xxhash64(key)).limit(SAMPLE))), key, "left_semi")
     data = prepared(known, text, label)
-    sizes = data.groupBy("label_text").agg(F.count("*").alias("size"))
+    sizes = cut_lineage(data.groupBy("label_text").agg(F.count("*").alias("size")))  # a row per class
     total = sizes.agg(F.sum("size").alias("all"), F.count("*").alias("classes"))
     data = data.join(F.broadcast(sizes), "label_text").crossJoin(F.broadcast(total)).withColumn("weight", F.col("all") / (F.col("classes") * F.col("size")))  # a row per class, one row
-    data = cut_lineage(data.select("terms", "label_text", "weight"))  # the stages below each pass over it, the last many times
+    # The terms of all rows are several times the input: idf, moments and blocks of vectors each make them anew out of the texts; the iterations pass over the blocks.
+    data = data.select("terms", "label_text", "weight")
     stages = [
         StringIndexer(inputCol="label_text", outputCol="label", stringOrderType="alphabetAsc"), HashingTF(inputCol="terms", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="idf", minDocFreq=2),
         Normalizer(inputCol="idf", outputCol="features"), LogisticRegression(maxIter=30, regParam=1 / (c * 1000), weightCol="weight"),
