@@ -31,3 +31,9 @@ def test_bulk_scores_rank_for_every_advert(spark, folder):
     got = bulk_queries.bulk_scores(spark, folder).collect()
     assert sorted((r["doc_id"], r["job_id"]) for r in got) == sorted(PAIRS)
     assert all(sorted(r["rank"] for r in got if r["job_id"] == j) == list(range(1, 1 + sum(p[1] == j for p in PAIRS))) for j in ADS)
+
+
+def test_match_scores_of_every_advert(spark, folder):
+    got = bulk_queries.match_scores(spark, folder).collect()
+    assert sorted((r["doc_id"], r["job_id"]) for r in got) == sorted(PAIRS)
+    assert {(r["doc_id"], r["job_id"]): r["skill"] for r in got}[(4, 7)] == 0.2
