@@ -3,7 +3,7 @@
 import pytest
 
 from vitaeflow.operators import pairs as A
-from vitaeflow.plans import bulk_queries
+from vitaeflow.plans import bulk_queries, match_queries
 
 ADS = {100: "Requirements\nPython, SQL\nMinimum 4 years of experience", 101: "Requirements\nPython", 7: "Requirements\nDocker\nNice to have\nSQL", -3: "Requirements\nGo", 205: "About us\nCakes"}
 RESUMES = {1: "Jane Doe\nSkills: Python, SQL", 2: "John Roe\nSkills: Docker", 3: "nothing", 4: "Skills: SQL, Go"}
@@ -37,3 +37,8 @@ def test_match_scores_of_every_advert(spark, folder):
     got = bulk_queries.match_scores(spark, folder).collect()
     assert sorted((r["doc_id"], r["job_id"]) for r in got) == sorted(PAIRS)
     assert {(r["doc_id"], r["job_id"]): r["skill"] for r in got}[(4, 7)] == 0.2
+
+
+def test_application_semantic_of_every_advert(spark, folder):
+    got = match_queries.application_semantic(spark, folder).collect()
+    assert sorted((r["doc_id"], r["job_id"]) for r in got) == sorted(PAIRS)
