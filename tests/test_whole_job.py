@@ -42,3 +42,8 @@ def test_match_scores_of_every_advert(spark, folder):
 def test_application_semantic_of_every_advert(spark, folder):
     got = match_queries.application_semantic(spark, folder).collect()
     assert sorted((r["doc_id"], r["job_id"]) for r in got) == sorted(PAIRS)
+
+
+def test_application_sentences_of_every_advert(spark, folder):
+    got = match_queries.application_sentences(spark, folder).collect()
+    assert {(r["doc_id"], r["job_id"]) for r in got} == PAIRS
